@@ -1,0 +1,134 @@
+"""Secret scans: fixed patterns, and entropy of sliding windows over candidates.
+
+Spans are found without leaving the engine: a pattern's matches and the pieces
+between them, in turn, have lengths that add up to the places.
+
+Candidates are runs of at least ``MIN_LENGTH`` characters of a key alphabet.  Over
+each, a window of ``WINDOW`` characters slides; the counts of its characters are
+updated by the one that enters and the one that leaves, and with them the sum of
+``c * log2(c)``, which gives the window's Shannon entropy.  A candidate whose
+highest window is above the limit of its class (hex, letters and digits, base64)
+is a secret, unless the allow list knows it (UUIDs, plain words, paths, examples).
+
+Defined results: null texts count as empty; offsets are code points, end
+exclusive; repeated rows are scanned one by one; empty tables give empty tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]{24,}"  # a run is maximal, so shorter ones need not be matched to be dropped
+KINDS = ("assign", "access", "hex", "entropy")
+
+MIN_LENGTH = 20
+WINDOW = 20
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Bits a character that a window of ordinary text of the class does not reach.
+LIMITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
+#: Candidates that are no secrets: UUIDs, only letters of one case, words joined by - _ or /, runs of = or -, documentation keys.
+ALLOWED = (
+    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    r"^[A-Z]?[a-z]+$|^[A-Z]+$",
+    r"^/?[A-Za-z]+([-_/=][A-Za-z]*)+$",
+    r"^[0-9/_=-]+$",
+    r"(?i)example|abcdefghijkl|0123456789|placeholder|x{8}",
+)
+
+
+def _spans(text: Column, pattern: str, kind: str, passes=None) -> Column:
+    """Array of (start, order, kind, end) for the matches of ``pattern`` in ``text``.
+
+    ``passes`` gets the match and the last group's text and keeps or drops it.
+    """
+    empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
+    m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    g = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else m
+    pieces = F.transform(F.split(text, pattern, -1), F.length)
+    lengths = F.arrays_zip(pieces.alias("gap"), F.transform(m, F.length).alias("own"), F.transform(g, F.length).alias("last"))
+    order = KINDS.index(kind)
+    ends = F.aggregate(
+        lengths,
+        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + F.coalesce(x["own"], F.lit(0))).alias("at"),
+            F.when(
+                x["own"].isNotNull() & (passes(x) if passes else F.lit(True)),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["own"]).alias("end")))),
+            )
+            .otherwise(acc["out"])
+            .alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(text.rlike(pattern), ends).otherwise(empty)
+
+
+def best_entropy(text: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy of any window of ``window`` characters.
+
+    Texts shorter than the window are one window.
+    """
+    codes = F.transform(F.split(text, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+
+    def gain(n: Column) -> Column:
+        return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+
+    size = F.least(F.size(codes), F.lit(window)).cast("double")
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+
+    def step(acc: Column, x: Column) -> Column:
+        into, out = x["into"], F.coalesce(x["out"], F.lit(-1))
+        # Count of the entering character before, and of the leaving one.
+        n_in, n_out = F.get(acc["n"], into), F.get(acc["n"], out)
+        same = into == out
+        s = F.when(same, acc["s"]).otherwise(acc["s"] - gain(n_in) + gain(n_in + 1) - F.when(out >= 0, gain(n_out) - gain(n_out - 1)).otherwise(F.lit(0.0)))
+        n = F.when(same, acc["n"]).otherwise(F.transform(acc["n"], lambda c, i: c + (i == into).cast("int") - (i == out).cast("int")))
+        full = x["i"] + 1 >= size
+        h = F.log2(size) - s / size
+        return F.struct(n.alias("n"), s.alias("s"), F.when(full, F.greatest(acc["best"], h)).otherwise(acc["best"]).alias("best"))
+
+    late = F.concat(F.array_repeat(F.lit(None).cast("int"), window), codes)
+    moves = F.zip_with(codes, F.slice(late, F.lit(1), F.size(codes)), lambda a, b: F.struct(a.alias("into"), b.alias("out")))
+    moves = F.transform(moves, lambda x, i: F.struct(x["into"].alias("into"), x["out"].alias("out"), i.alias("i")))
+    return F.aggregate(moves, start, step, lambda acc: acc["best"])
+
+
+def is_secret(candidate: Column) -> Column:
+    """Whether a candidate's entropy is above its class's limit and no allow rule knows it."""
+    allowed = F.lit(False)
+    for pattern in ALLOWED:
+        allowed = allowed | candidate.rlike(pattern)
+    kind = F.when(candidate.rlike("^[0-9a-fA-F]+$"), F.lit(LIMITS["hex"])).when(candidate.rlike("^[A-Za-z0-9]+$"), F.lit(LIMITS["alnum"])).otherwise(F.lit(LIMITS["base64"]))
+    return F.when(allowed, F.lit(False)).otherwise(best_entropy(candidate) > kind)
+
+
+def _entropy_spans(text: Column) -> Column:
+    """Spans of candidates that are secrets."""
+    m = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    every = _spans(text, CANDIDATE, "entropy")
+    both = F.zip_with(every, m, lambda s, c: F.struct(s.alias("s"), c.alias("c")))
+    return F.transform(F.filter(both, lambda x: is_secret(x["c"])), lambda x: x["s"])
+
+
+def spans(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Each row: ``doc_id``, ``keep``, and ``base`` and ``found``: arrays of spans.
+
+    A span is (start, ord, kind, end), in order of start, then kind.  ``base`` has
+    the fixed patterns' spans; ``found`` has those and the entropy spans.
+    """
+    step = docs.select("doc_id", *keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    base = F.concat(_spans(F.col("_t"), ASSIGN, "assign", lambda x: x["last"] >= 6), _spans(F.col("_t"), ACCESS, "access", lambda x: x["own"] >= 20), _spans(F.col("_t"), HEX, "hex"))
+    step = step.select("doc_id", *keep, F.sort_array(base).alias("base"), _entropy_spans(F.col("_t")).alias("_more"))
+    return step.select("doc_id", *keep, "base", F.sort_array(F.concat("base", "_more")).alias("found"))
+
+
+def joined(found: Column) -> Column:
+    """``kind:start:end``, comma-joined."""
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
