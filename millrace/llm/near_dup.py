@@ -9,11 +9,15 @@ concentration as good as for independent minima.
 
 Texts of equal sets fall together first; one stands for all.  Coordinates, in two
 orders, are cut into bands of ``ROWS``; texts with an equal band are candidates.
-Candidates are never all pairs of a bucket: each member is compared with a hub,
-components are formed, and only buckets that still hold two components go on, with
-other hubs.  When few cross pairs are left, those whose sizes and one-bit sketches
-allow the threshold are compared too, so no link between components is lost for
-want of a hub.  Every link is confirmed on full sets.
+Candidates are never all pairs of a bucket.  Each member is compared with one hub,
+the member whose own buckets hold the most, and components are formed; buckets that
+still hold two of them go on.  There a bound that loses nothing rules out what can
+have no partner: only shingles that more than one component has can be common to a
+link between components, so a text with too few of those is done with.  Further
+hubs follow while they still find links and much is left.  Then pairs of different
+components in a bucket are tested by sizes, sketches and counts of such shingles by
+the low bits of their hash, and only those that pass all bounds are emitted and
+confirmed, so no link between components is lost for want of a hub.
 
 Two texts at a similarity of 0.85 share no band with probability under 1e-6; the
 one-bit filter is six deviations wide.
@@ -41,9 +45,10 @@ from . import scratch, workers
 COORDINATES = 256
 ROWS = 8
 ORDERS = 2
-HUB_ROUNDS = 6
 PAIRS_PER_MEMBER = 30
-WORDS_KNOWN = 1_000_000
+WORTHWHILE = 0.01
+CELLS = 64
+WORDS_KNOWN = 250_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = [np.random.default_rng(11 + i).permutation(COORDINATES) for i in range(ORDERS)]
@@ -137,16 +142,16 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """``node, set``: the shingle hashes as bytes."""
+    """``node, set``: the shingle hashes, sorted."""
 
     workers.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingle_set(t.as_py(), size).tobytes() for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "set"])
+            made = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, set binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +164,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             x, y = batch.column(2), batch.column(3)
             hold = []
             for i in range(batch.num_rows):
-                a, b = np.frombuffer(x[i].as_py(), dtype=np.uint64), np.frombuffer(y[i].as_py(), dtype=np.uint64)
+                a, b = x[i].values.to_numpy(), y[i].values.to_numpy()
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 hold.append(100 * both >= percent * (len(a) + len(b) - both))
             keep = pa.array(hold, pa.bool_())
@@ -218,6 +223,47 @@ def _possible(percent: int) -> Column:
     return fits & (_apart() <= F.lit(int(limit) + 1))
 
 
+def _open(now: DataFrame) -> DataFrame:
+    """Those rows of ``band, node, c`` whose band has two components or more."""
+    bands = now.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("band")
+    return now.join(bands, "band", "left_semi")
+
+
+def shared_counts(live: DataFrame, full_sets: DataFrame) -> DataFrame:
+    """``node, m, cells`` of ``live`` (band, node, c): its shingles that other components have.
+
+    ``m`` is their number and ``cells`` their numbers by the low bits of the hash.
+    Nodes without any are left out.
+    """
+    each = live.select("node", "c").distinct().join(full_sets, "node").select("node", "c", F.explode("set").alias("s"))
+    shared = each.groupBy("s").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("s")
+    cells = each.join(shared, "s", "left_semi").groupBy("node", F.col("s").bitwiseAND(F.lit(CELLS - 1)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    by_node = cells.groupBy("node").agg(F.sum("n").alias("m"), F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("_cells"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.coalesce(F.try_element_at("_cells", k.cast("long")), F.lit(0).cast("long")).cast("int"))
+    return by_node.select("node", "m", every.alias("cells"))
+
+
+def viable(live: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Those rows of ``live`` that can have a link to another component in their band.
+
+    A link's common shingles are at most ``m`` of either side, at least ``percent``
+    of the larger set, and of both sets the share that the threshold asks for; the
+    other set is no smaller than the smallest of the band.
+    """
+    m, n = F.col("m"), F.col("n_shingles")
+    step = live.join(own.select("node", "m", "n_shingles"), "node").filter(F.lit(100) * m >= F.lit(percent) * n)
+    bands = step.groupBy("band").agg(F.min("n_shingles").alias("_least"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("band", "_least")
+    other = F.greatest(F.col("_least"), F.ceil(F.lit(percent) * n / F.lit(100)))
+    return step.join(bands, "band").filter(F.lit(100 + percent) * m >= F.lit(percent) * (n + other)).select("band", "node", "c").distinct()
+
+
+def _overlap(percent: int) -> Column:
+    """Whether the shared shingles of ``p`` and ``q`` can be enough for the threshold."""
+    needed = F.lit(percent) * (F.col("p.n_shingles") + F.col("q.n_shingles"))
+    both = F.aggregate(F.zip_with("p.cells", "q.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, x: acc + x)
+    return (F.lit(100 + percent) * F.least("p.m", "q.m") >= needed) & _possible(percent) & (F.lit(100 + percent) * both >= needed)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
@@ -230,49 +276,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = scratch.table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "dup-nodes")
     chosen = full.join(nodes.withColumnsRenamed({"d1": "_d1", "d2": "_d2"}), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("doc_id") == F.col("node")))
     banded = chosen.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("band")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo != _hi").select("band", "n")
     members = scratch.table(banded.join(buckets, "band").distinct(), "dup-members")
-    active = scratch.table(members.select("node").distinct(), "dup-active")
-    info = scratch.table(chosen.select("node", "n_shingles", *bits).join(active, "node").distinct(), "dup-info")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(active.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    full_sets = scratch.table(sets(texts, size), "dup-sets")
+    active = scratch.table(members.groupBy("node").agg(F.sum("n").alias("score")), "dup-active")
     # Ids stand for their texts only where they are unique; a repeated id's texts are all compared.
-    links, comp = None, None
+    info = scratch.table(chosen.select("node", "n_shingles", *bits).join(active.select("node"), "node").distinct(), "dup-info")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(active.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    full_sets = scratch.table(sets(texts, size), "dup-sets")
     p, q = info.alias("p"), info.alias("q")
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = pairs.join(p, F.col("a") == F.col("p.node")).join(q, F.col("b") == F.col("q.node")).filter(_possible(percent)).select("a", "b").distinct()
         return confirmed(near, full_sets, percent)
 
-    def with_component() -> DataFrame:
-        if comp is None:
-            return members.withColumn("c", F.col("node"))
-        return members.join(comp, "node", "left").select("node", "band", F.coalesce("component", "node").alias("c"))
-
-    for turn in range(HUB_ROUNDS + 1):
-        now = with_component()
-        per = now.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("h") if turn else F.col("node").alias("h"), F.col("node"))).alias("pick"))
-        open_ = per.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("parts"), F.min("pick").alias("pick")).filter("parts > 1")
-        open_ = scratch.table(open_.select("band", "n", (F.col("n") * F.col("n") - F.col("own")).alias("cross"), F.col("pick")["node"].alias("hub")), "dup-open")
-        left = open_.agg(F.sum("n").alias("n"), (F.sum("cross") / 2).alias("cross")).first()
-        if not left["n"]:
+    links, comp = None, None
+    live = members.join(active, "node").select("band", "node", F.col("node").alias("c"), F.col("score").alias("rank"))
+    while True:
+        new = scratch.table(linked(with_hub(live)), "dup-links")
+        found = new.count()
+        links = new if links is None else links.union(new)
+        comp = components(links) if found else comp
+        now = live.select("band", "node")
+        now = now.join(comp, "node", "left") if comp is not None else now.withColumn("component", F.lit(None).cast("long"))
+        live = scratch.table(_open(now.select("band", "node", F.coalesce("component", "node").alias("c"))), "dup-live")
+        own = scratch.table(info.join(shared_counts(live, full_sets), "node"), "dup-shared")
+        live = scratch.table(viable(live, own, percent), "dup-live")
+        sizes = live.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        texts_left = live.select("node").distinct().count()
+        left = sizes.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).alias("cross")).first()
+        if not left["cross"]:
             break
-        current = now.join(open_, "band")
-        last = turn == HUB_ROUNDS or (turn > 0 and left["cross"] <= PAIRS_PER_MEMBER * left["n"])
-        if last:
-            side = scratch.table(current.select("band", "node", "c").join(info, "node"), "dup-side")
+        if left["cross"] <= PAIRS_PER_MEMBER * left["n"] or found < WORTHWHILE * texts_left:
+            side = scratch.table(live.join(own, "node"), "dup-side")
             x, y = side.alias("p"), side.alias("q")
-            cross = (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & _possible(percent)
-            pairs = x.join(y, cross).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-            new = confirmed(pairs, full_sets, percent)
-        else:
-            hubs = per_component_hub(now, open_)
-            new = linked(hubs)
-        new = scratch.table(new, "dup-links")
-        links = new if links is None else scratch.table(links.union(new), "dup-links")
-        comp = components(links)
-        if last:
+            apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.c") != F.col("q.c"))
+            pairs = x.join(y, apart & _overlap(percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+            new = scratch.table(confirmed(pairs, full_sets, percent), "dup-links")
+            comp = components(links.union(new)) if new.head(1) else comp
             break
+        live = live.withColumn("rank", F.xxhash64(F.lit(found), "node"))
     ids = nodes.withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(ids, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     if comp is not None:
@@ -282,7 +324,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", F.col("_c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_c"), F.lit(True)).alias("kept"))
 
 
-def per_component_hub(now: DataFrame, open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of an open bucket's members with its hub, where components differ."""
-    hubs = open_.select("band", "hub").join(now.select("band", F.col("node").alias("hub"), F.col("c").alias("hub_c")), ["band", "hub"])
-    return now.join(hubs, "band").filter("c != hub_c").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+def with_hub(live: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each band's members with the one of highest rank, where components differ."""
+    hubs = live.groupBy("band").agg(F.max(F.struct("rank", "node", "c")).alias("_hub"))
+    pairs = live.join(hubs, "band").filter(F.col("c") != F.col("_hub")["c"])
+    return pairs.select(F.greatest("node", F.col("_hub")["node"]).alias("a"), F.least("node", F.col("_hub")["node"]).alias("b")).distinct()
