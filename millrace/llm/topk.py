@@ -4,8 +4,8 @@ Vectors of whole numbers are cut into segments.  A segment's mean and deviation
 bound its part of an inner product from above (for distances: from below):
 ``n * mean_q * mean_x + dev_q * dev_x``, where ``dev`` is the length of what is
 left when the mean is taken off.  One segment, then four, then sixteen: at each
-level the pairs whose bound stays under the query's k-th best score so far are
-dropped, and the survivors of the finest level get exact scores.
+level the rows whose bound stays under the k-th best score so far, for each query of
+a small batch, are dropped, and the survivors of the finest level get exact scores.
 
 Queries against all rows go block by block: queries fall into blocks and so do
 candidates, and a pair of blocks is one group of bounded expected size.  Each
@@ -34,6 +34,8 @@ SCALE = 64.0
 QUERY_BLOCK = 2048
 ROW_BLOCK = 16384
 LEVELS = (1, 4, 16)
+BATCH = 64
+CHUNK = 2048
 FOUND = "query_id long, vec_id long, score long"
 _EXACT = float(1 << 53)
 
@@ -59,26 +61,50 @@ def _scores(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and scores of its k best rows, ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1]) >= _EXACT:
+        return [_best(ids[ids != own], _scores(v, x[ids != own]), k) for own, v in zip(q_ids, q, strict=True)]
+    # Long vectors first: the k-th best scores are then high early on.
+    order = np.argsort(-(x * x).sum(1), kind="stable")
     ids, x = ids[order], x[order]
-    levels = [(segment_statistics(q, s), segment_statistics(x, s)) for s in LEVELS]
+    of_rows = [segment_statistics(x, s) for s in LEVELS]
     out = []
-    for i, own in enumerate(q_ids):
-        alive = np.flatnonzero(ids != own)
-        if len(alive) > 4 * k:
-            # The rows of highest bound give a first k-th score, which only rises with more rows.
-            bound = levels[-1][1][alive] @ levels[-1][0][i]
-            first = alive[np.argpartition(-bound, 2 * k)[: 2 * k]]
-            floor = np.partition(_scores(q[i], x[first]), -k)[-k]
-            slack = 1e-6 * (1 + abs(float(floor)))
-            for sq, sx in levels:
-                alive = alive[sx[alive] @ sq[i] >= floor - slack]
-        scores = _scores(q[i], x[alive])
-        best = np.lexsort((ids[alive], -scores.astype(object) if len(scores) and scores.min() == -(1 << 63) else -scores))[:k]
-        out.append((ids[alive][best], scores[best]))
+    for a in range(0, len(q), BATCH):
+        out += _search_batch(q_ids[a : a + BATCH], q[a : a + BATCH], ids, x, of_rows, k)
     return out
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id; a bitwise not turns the order without overflow."""
+    best = np.lexsort((ids, ~scores))[:k]
+    return ids[best], scores[best]
+
+
+def _search_batch(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, of_rows: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A few queries against all rows, chunk by chunk, with matrix products at every level."""
+    of_queries = [segment_statistics(q, s) for s in LEVELS]
+    floor = np.full(len(q), -np.inf)
+    top = np.full((len(q), k), -np.inf)
+    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(x), CHUNK):
+        rows = np.arange(at, min(at + CHUNK, len(x)))
+        least = (floor - 1e-6 * (1 + np.abs(floor)))[:, None] if np.isfinite(floor).all() else None
+        for sq, sx in zip(of_queries, of_rows, strict=True) if least is not None else ():
+            # A row goes on while any query of the batch may need it.
+            rows = rows[((sq @ sx[rows].T) >= least).any(0)]
+        if not len(rows):
+            continue
+        scores = q @ x[rows].T
+        scores[q_ids[:, None] == ids[rows][None, :]] = -np.inf
+        top = np.partition(np.concatenate([top, scores], 1), -k, 1)[:, -k:]
+        floor = top[:, 0] if k == 1 else top.min(1)
+        i, j = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+        kept.append((i, ids[rows[j]], scores[i, j].astype(np.int64)))
+    who, found, scores = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.empty(0, np.int64),) * 3
+    by = np.argsort(who, kind="stable")
+    edges = np.searchsorted(who[by], np.arange(len(q) + 1))
+    return [_best(found[by[a:b]], scores[by[a:b]], k) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score``: rows with ``vec_id % every = 0`` against all."""
     parts = F.transform("embedding", lambda c: c.cast("double"))
