@@ -63,8 +63,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
-    back = warc.read(spark, path)
-    return back.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

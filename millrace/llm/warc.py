@@ -37,43 +37,51 @@ def base32(hex_digest: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``page_id, header, address, payload``: payload is null for revisits."""
-    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("address", F.sha2("payload", 256))
+def _payload() -> Column:
+    return F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+
+
+def described(pages: DataFrame) -> DataFrame:
+    """``page_id, url, address, sha1, n``: what headers need to know of the payloads."""
+    rows = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), _payload().alias("_p"))
+    return rows.select("page_id", "url", F.sha2("_p", 256).alias("address"), base32(F.sha1("_p")).alias("sha1"), F.length("_p").alias("n"))
+
+
+def headers(rows: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """``page_id, header, address`` for each row that :func:`described` gives."""
     # The first id of each address: combined map-side, one row a task and address.
     first = rows.groupBy("address").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     # Only addresses that repeat need the join; the rest are responses as they are.
     repeated = first.filter("copies > 1").select(F.col("address").alias("_a"), "first_id")
     rows = rows.join(repeated, F.col("address") == F.col("_a"), "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.length("payload") >= min_revisit)
-    rows = rows.withColumn("_revisit", revisit).withColumn("_sha1", base32(F.sha1("payload")))
+    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("n") >= min_revisit)
     target = F.regexp_replace("url", r"[\r\n]", "")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, *v: F.concat(F.lit(f"{key}: "), *v, F.lit("\r\n"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(F.col("_revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
+        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", name(F.col("page_id"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", target),
-        F.when(F.col("_revisit"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", name(F.col("first_id"))))).otherwise(F.lit("")),
-        line("WARC-Payload-Digest", F.lit("sha1:"), F.col("_sha1")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", name(F.col("first_id"))))).otherwise(F.lit("")),
+        line("WARC-Payload-Digest", F.lit("sha1:"), F.col("sha1")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(F.col("_revisit"), F.lit(0)).otherwise(F.length("payload")).cast("string")),
+        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n")).cast("string")),
         F.lit("\r\n"),
     )
-    return rows.select("page_id", header.alias("header"), "address", F.when(~F.col("_revisit"), F.col("payload")).alias("payload"))
+    return rows.select("page_id", header.alias("header"), "address")
+
+
+def payloads(pages: DataFrame) -> DataFrame:
+    """``address, payload``: each payload once; copies meet map-side, before the shuffle."""
+    return pages.select(_payload().alias("payload")).groupBy(F.sha2("payload", 256).alias("address")).agg(F.first("payload").alias("payload"))
 
 
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
     """Write the archive: ``path/headers`` and ``path/payloads``, both Parquet."""
-    made = scratch.table(records(pages, min_revisit), "warc-records")
-    made.select("page_id", "header", "address").write.parquet(f"{path}/headers")
-    # Small payloads may all be responses, and ids may repeat: still one copy an address.
-    stored = made.filter(F.col("payload").isNotNull()).groupBy("address").agg(F.min("payload").alias("payload"))
-    stored.write.parquet(f"{path}/payloads")
+    headers(scratch.table(described(pages), "warc-rows"), min_revisit).write.parquet(f"{path}/headers")
+    payloads(pages).write.parquet(f"{path}/payloads")
 
 
 def _field(header: Column, key: str) -> Column:
@@ -81,15 +89,16 @@ def _field(header: Column, key: str) -> Column:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record: ``page_id, header, record_type, refers_to, payload_digest, payload, record``.
+    """One row a record: ``page_id, header, record_type, refers_to, payload_digest, payload_bytes, payload, record``.
 
     ``payload`` is the full payload of responses and revisits alike; ``record`` is
-    the record's bytes as an archive file holds them.  A stored payload that does
+    the record's bytes as an archive file holds them.  Who asks for neither moves
+    only digests and lengths through the join.  A stored payload that does
     not match its address, or a header whose SHA-1 does not match, raises.
     """
     headers = spark.read.schema("page_id long, header string, address string").parquet(f"{path}/headers")
     stored = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
-    stored = stored.withColumnRenamed("address", "_a").withColumn("_sha1", base32(F.sha1("payload")))
+    stored = stored.withColumnRenamed("address", "_a").withColumns({"_sha1": base32(F.sha1("payload")), "payload_bytes": F.length("payload").cast("long")})
     stored = stored.filter(F.when(F.sha2("payload", 256) == F.col("_a"), True).otherwise(F.raise_error(F.concat(F.lit("payload does not match its address "), F.col("_a")))))
     rows = headers.join(stored, F.col("address") == F.col("_a"))
     digest = F.substring(_field(F.col("header"), "WARC-Payload-Digest"), 6, 32)
@@ -102,6 +111,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         kind.alias("record_type"),
         refers.try_cast("long").alias("refers_to"),
         F.when(digest == F.col("_sha1"), digest).otherwise(F.raise_error(F.lit("digest in the header does not match the payload"))).alias("payload_digest"),
+        "payload_bytes",
         "payload",
         F.concat(F.col("header").cast("binary"), body, F.lit(END).cast("binary")).alias("record"),
     )
