@@ -83,6 +83,9 @@ class FuzzyMatch(Operator):
         scores = [self._score(i, f) for i, f in enumerate(self.fields)]
         total = sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0))
         count = sum((s.isNotNull().cast("int") for s in scores), F.lit(0))
-        pairs = rows.alias("a").join(rows.alias("b"), on).select(F.col("a.id").alias("record_id1"), F.col("b.id").alias("record_id2"), total.alias("t"), count.alias("n"))
+        # The work is in the pairs, not the rows: a side is dealt out, however small it is.
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartition(tasks, "block", "id") if self.block_on else rows.repartition(tasks, "id")
+        pairs = dealt.alias("a").join(rows.alias("b"), on).select(F.col("a.id").alias("record_id1"), F.col("b.id").alias("record_id2"), total.alias("t"), count.alias("n"))
         out = pairs.groupBy("record_id1", "record_id2").agg(F.round(F.try_divide(F.sum("t"), F.sum("n")), 2).alias("similarity_score")).filter(F.col("similarity_score") >= self.threshold)
         return out if self.with_score else out.drop("similarity_score")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..core import names, ordering
+from ..core import names, ordering, prefix
 from ..core.base import Operator, absent, needed
 
 CONDITIONS = ("between", "equal_to", "not_equal_to", "less_than", "greater_than")
@@ -23,24 +23,41 @@ def windowed(df: DataFrame, groups: Sequence[str], order: Sequence, otherwise: C
     return Window.partitionBy(*by).orderBy(*keys)
 
 
+def spreads(df: DataFrame, spread: bool | None) -> bool:
+    return prefix.is_large(df) if spread is None else spread
+
+
+def placed(df: DataFrame, order: Sequence, name: str, spread: bool | None) -> DataFrame:
+    """``df`` with ``name`` from 1 in ``order`` over the whole table."""
+    made = prefix.running(df, order, {name: F.lit(1).cast("long")}) if order and spreads(df, spread) else None
+    return df.withColumn(name, F.row_number().over(windowed(df, (), order))) if made is None else made
+
+
 @dataclass(frozen=True)
 class RunningTotal(Operator):
     """Sums of columns from the first row of the group up to each row; null is 0.
 
-    All totals share one window, so one shuffle and one sort.
+    All totals share one window, so one shuffle and one sort.  Totals over a whole
+    large table are made in bins of the first order key (see ``core.prefix``);
+    ``spread`` sets that, else the table's size decides.
     """
 
     columns: Sequence[str]
     group_by: Sequence[str] = ()
     order_by: Sequence = ()
     prefix: str = "RunTot_"
+    spread: bool | None = None
 
     def problems(self, df: DataFrame) -> list[str]:
         return needed(self.columns, "at least one column") + absent(df, [*self.columns, *self.group_by]) + ordering.problems(self.order_by)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        w = windowed(df, self.group_by, self.order_by, F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         own = names.resolve_all(df, self.columns)
+        if not self.group_by and spreads(df, self.spread):
+            made = prefix.running(df, self.order_by, {f"_millrace_t{i}": F.coalesce(names.col(c), F.lit(0)) for i, c in enumerate(own)})
+            if made is not None:
+                return made.select(*[names.col(c) for c in df.columns], *[F.col(f"_millrace_t{i}").alias(f"{self.prefix}{c}") for i, c in enumerate(own)])
+        w = windowed(df, self.group_by, self.order_by, F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(F.coalesce(names.col(c), F.lit(0))).over(w).alias(f"{self.prefix}{c}") for c in own])
 
 
@@ -65,7 +82,8 @@ class RecordID(Operator):
     """Adds a record id: ``incremental_id`` numbers, or ``uuid``.
 
     Numbers start at ``start``; as strings they are padded with zeros to ``size``
-    digits, and cut to it when longer.  ``groupLevel`` numbers within groups.
+    digits, and cut to it when longer.  ``groupLevel`` numbers within groups.  No
+    form of it puts a large table into one task; ``spread`` is as for running totals.
     """
 
     method: str = "incremental_id"
@@ -77,6 +95,7 @@ class RecordID(Operator):
     position: str = "first_column"
     group_by: Sequence[str] = ()
     order_by: Sequence = ()
+    spread: bool | None = None
 
     def problems(self, df: DataFrame) -> list[str]:
         return needed(self.name, "name") + absent(df, self.group_by) + ordering.problems(self.order_by)
@@ -87,9 +106,10 @@ class RecordID(Operator):
         else:
             if self.generation != "groupLevel" and not self.order_by:
                 made = numbered(df, "_millrace_n")
+            elif self.generation == "groupLevel" and self.group_by:
+                made = df.withColumn("_millrace_n", F.row_number().over(windowed(df, self.group_by, self.order_by)))
             else:
-                groups = self.group_by if self.generation == "groupLevel" else ()
-                made = df.withColumn("_millrace_n", F.row_number().over(windowed(df, groups, self.order_by)))
+                made = placed(df, self.order_by, "_millrace_n", self.spread) if self.order_by else numbered(df, "_millrace_n")
             value = F.col("_millrace_n").cast("long") + F.lit(self.start - 1)
             if self.type.lower() == "string":
                 value = F.lpad(value.cast("string"), self.size, "0")
@@ -174,6 +194,7 @@ class Sample(Operator):
     group_by: Sequence[str] = ()
     order_by: Sequence = ()
     seed: int = 1002
+    spread: bool | None = None
 
     MODES = ("firstN", "lastN", "skipN", "oneOfN", "oneInN", "randomN", "nPercent", "randomNPercent")
 
@@ -193,9 +214,12 @@ class Sample(Operator):
             return df.orderBy(*order).limit(int(self.n)) if order else df.limit(int(self.n))
         by = Window.partitionBy(*[names.col(c) for c in groups])
         rn, rows = F.col("_millrace_rn"), F.col("_millrace_rows")
-        step = df.withColumn("_millrace_rn", F.row_number().over(by.orderBy(*(order or [names.col(c) for c in groups] or [F.lit(1)]))))
+        if not groups and not self.mode.startswith("random"):
+            step = placed(df, self.order_by, "_millrace_rn", self.spread) if order else numbered(df, "_millrace_rn")
+        else:
+            step = df.withColumn("_millrace_rn", F.row_number().over(by.orderBy(*(order or [names.col(c) for c in groups] or [F.lit(1)]))))
         if self.mode in ("lastN", "nPercent", "randomNPercent"):
-            step = step.withColumn("_millrace_rows", F.count(F.lit(1)).over(by))
+            step = step.withColumn("_millrace_rows", F.count(F.lit(1)).over(by)) if groups else step.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_millrace_rows"))))
         n = int(self.n)
         if "Percent" in self.mode:
             keep = rn <= F.ceil(rows * F.lit(min(float(self.n), 100.0)) / F.lit(100.0))

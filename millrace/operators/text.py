@@ -77,7 +77,7 @@ class DataCleansing(Operator):
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.drop_null_rows:
-            df = df.na.drop(how="all")
+            df = df.filter(~F.forall(F.array(*[names.col(c).isNull() for c in df.columns]), lambda x: x))
         own = set(names.resolve_all(df, self.columns))
         return df.select([self._cleaned(names.col(f.name), f.dataType).cast(f.dataType).alias(f.name) if f.name in own else names.col(f.name) for f in df.schema]) if own else df
 
