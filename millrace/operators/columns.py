@@ -132,11 +132,11 @@ class Transpose(Operator):
         if not self.data or not self.name or not self.value:
             return df
         keys, data = names.resolve_all(df, self.keys), names.resolve_all(df, self.data)
-        # Positions stand for names, so that a column may be key and data at once.
-        step = df.select(*[names.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[names.col(c).cast("string").alias(f"_d{i}") for i, c in enumerate(data)])
-        rows = F.array(*[F.struct(F.lit(c).alias("n"), F.col(f"_d{i}").alias("v")) for i, c in enumerate(data)])
-        step = step.select(*[F.col(f"_k{i}") for i in range(len(keys))], F.explode(rows).alias("_r"))
-        return step.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keys)], F.col("_r")["n"].alias(self.name), F.col("_r")["v"].alias(self.value))
+        # Positions stand for the keys' names, so that a column may be key and data at once.
+        at = [f"_millrace_k{i}" for i in range(len(keys))]
+        step = df.select(*[names.col(c).alias(k) for c, k in zip(keys, at, strict=True)], *[names.col(c).cast("string").alias(c) for c in data])
+        step = step.unpivot([F.col(k) for k in at], [names.col(c) for c in data], "_millrace_n", "_millrace_v")
+        return step.select(*[F.col(k).alias(c) for c, k in zip(keys, at, strict=True)], F.col("_millrace_n").alias(self.name), F.col("_millrace_v").alias(self.value))
 
 
 @dataclass(frozen=True)

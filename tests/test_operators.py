@@ -393,3 +393,8 @@ def test_percent_is_rounded_up():
     from millrace.operators.rows import percent_rows
 
     assert [percent_rows(10, p) for p in (0, 1, 10, 11, 200)] == [0, 1, 1, 2, 10] and math.ceil(0.1) == 1
+
+
+def test_transpose_names_odd_columns(odd):
+    out = Transpose(["plain"], ["a.b", "c`d", "plain"], "n", "v")(odd.filter("`Mixed Name` = 2"))
+    assert got(out) == [("b", "a.b", ""), ("b", "c`d", None), ("b", "plain", "b")]
