@@ -70,5 +70,6 @@ def running(df: DataFrame, order: Sequence, sums: dict[str, Column]) -> DataFram
     within = Window.partitionBy(BIN).orderBy(*ordering.columns(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumns({n: F.sum(c).over(within) for n, c in sums.items()})
     joined = local.join(F.broadcast(each), F.col(BIN) == F.col("_millrace_b"))
-    total = {n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in sums}
+    # As for one window, a sum is null only where nothing has been added yet.
+    total = {n: F.coalesce(F.col(n) + F.col(f"_before_{n}"), F.col(n), F.col(f"_before_{n}")) for n in sums}
     return joined.withColumns(total).drop(BIN, "_millrace_b", *[f"_before_{n}" for n in sums])

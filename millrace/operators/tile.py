@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..core import names, ordering
+from ..core import names, ordering, prefix
 from ..core.base import Operator, absent, needed
+from .rows import numbered, placed, spreads
 
 METHODS = ("equal_records", "equal_sum_tile", "smart_tile", "unique_value", "manual")
 LABELS = {0: "Average", 1: "Above Average", 2: "High", 3: "Extremely High", -1: "Below Average", -2: "Low", -3: "Extremely Low"}
@@ -27,6 +28,10 @@ class Tile(Operator):
     adds labels (no_output_column_smartTile, output_column_smartTile, or verbose
     with bounds).  unique_value: a tile for each value of ``columns``.  manual: by
     rising ``cutoffs``, compared as 32-bit floats; beyond the last, and null, one more.
+
+    Tiles of equal counts or sums over a whole large table are made in bins of the
+    first order key (see ``core.prefix``); ``spread`` sets that, else the table's
+    size decides.
     """
 
     method: str = "equal_sum_tile"
@@ -38,6 +43,7 @@ class Tile(Operator):
     no_split: Sequence[str] = ()
     cutoffs: Sequence[float] = ()
     smart_output: str = "no_output_column_smartTile"
+    spread: bool | None = None
 
     def problems(self, df: DataFrame) -> list[str]:
         out = [] if self.method in METHODS else [f"unknown method {self.method!r}"]
@@ -65,7 +71,22 @@ class Tile(Operator):
     def _in_tile(self, by: list[Column], order: list[Column]) -> Column:
         return F.row_number().over(Window.partitionBy(*by, "Tile_Num").orderBy(*(order or [F.lit(1)])))
 
+    def _by_place(self, df: DataFrame) -> DataFrame:
+        """Tiles of equal counts from each row's number and the number of rows alone."""
+        rn, n = F.col("_millrace_n"), F.lit(self.n)
+        made = placed(df, self.order_by, "_millrace_n", True) if self.order_by else numbered(df, "_millrace_n")
+        made = made.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_millrace_all"))))
+        size, longer = F.floor(F.col("_millrace_all") / n), F.col("_millrace_all") % n
+        edge = longer * (size + 1)
+        tile = F.when(rn <= edge, F.ceil(rn / (size + 1))).otherwise(longer + F.ceil((rn - edge) / F.greatest(size, F.lit(1))))
+        made = made.withColumn("Tile_Num", tile.cast("int"))
+        before = F.when(F.col("Tile_Num") <= longer, (F.col("Tile_Num") - 1) * (size + 1)).otherwise(edge + (F.col("Tile_Num") - longer - 1) * size)
+        count = F.when(F.col("Tile_Num") <= longer, size + 1).otherwise(size)
+        return made.select(*[names.col(c) for c in df.columns], "Tile_Num", count.cast("long").alias("Tile_RecordCount"), (rn - before).cast("int").alias("Tile_SequenceNum"))
+
     def _equal_records(self, df: DataFrame, by: list[Column]) -> DataFrame:
+        if not by and not self.no_split and spreads(df, self.spread):
+            return self._by_place(df)
         order = ordering.columns(self.order_by) or [F.lit(1)]
         step = df.withColumn("Tile_Num", F.ntile(self.n).over(Window.partitionBy(*by).orderBy(*order)))
         if self.no_split:
@@ -78,12 +99,26 @@ class Tile(Operator):
     def _equal_sum(self, df: DataFrame, by: list[Column]) -> DataFrame:
         x = names.col(names.resolve(df, self.column))
         order = [*ordering.columns(self.order_by), x.asc_nulls_first()]
+        if not by and self.order_by and spreads(df, self.spread):
+            made = prefix.running(df, [*self.order_by, ordering.OrderRule(names.quoted(names.resolve(df, self.column)))], {"_millrace_r": x})
+            if made is not None:
+                return self._by_running(df, made, x, order)
         group = Window.partitionBy(*by)
         running = F.sum(x).over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         share = F.try_divide(running, F.sum(x).over(group)) * F.lit(self.n)
         step = df.withColumn("_millrace_t", F.ceil(share)).withColumn("Tile_Num", F.dense_rank().over(group.orderBy("_millrace_t")))
         return step.drop("_millrace_t").withColumn("tile_sum", F.sum(x).over(Window.partitionBy(*by, "Tile_Num"))).withColumn("Tile_SequenceNum", self._in_tile(by, order))
 
+    def _by_running(self, df: DataFrame, made: DataFrame, x: Column, order: list[Column]) -> DataFrame:
+        """Tiles of equal sums from running sums; their numbers come from one row a tile."""
+        made = made.crossJoin(F.broadcast(df.agg(F.sum(x).alias("_millrace_all"))))
+        made = made.withColumn("_millrace_t", F.ceil(F.try_divide(F.col("_millrace_r"), F.col("_millrace_all")) * F.lit(self.n)))
+        tiles = made.groupBy("_millrace_t").agg(F.sum(x).alias("tile_sum"))
+        tiles = tiles.select(F.col("_millrace_t").alias("_millrace_u"), "tile_sum", F.row_number().over(Window.orderBy("_millrace_t")).alias("Tile_Num"))
+        # Sums that rise and fall can pass through more than n tiles, so Spark picks the join by size.
+        joined = made.join(tiles, F.col("_millrace_t").eqNullSafe(F.col("_millrace_u")))
+        return joined.select(*[names.col(c) for c in df.columns], "Tile_Num", "tile_sum", self._in_tile([], order).alias("Tile_SequenceNum"))
+
     def _smart(self, df: DataFrame, by: list[Column]) -> DataFrame:
         x = names.col(names.resolve(df, self.column)).cast("double")
         group = Window.partitionBy(*by)

@@ -398,3 +398,13 @@ def test_percent_is_rounded_up():
 def test_transpose_names_odd_columns(odd):
     out = Transpose(["plain"], ["a.b", "c`d", "plain"], "n", "v")(odd.filter("`Mixed Name` = 2"))
     assert got(out) == [("b", "a.b", ""), ("b", "c`d", None), ("b", "plain", "b")]
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 400])
+def test_spread_tiles(spark, n):
+    df = spark.createDataFrame([(i, None if i % 13 == 0 else i * 31 % 97, "x") for i in range(200)], "i int, v int, s string").repartition(5)
+    for method in ("equal_records", "equal_sum_tile"):
+        for order in ([("v", "desc"), "i"], ["s", "i"]):
+            one, many = (Tile(method, "v", n=n, order_by=order, spread=s)(df) for s in (False, True))
+            assert one.columns == many.columns and got(one) == got(many)
+    assert sorted(r["n"] for r in Tile("equal_records", n=n, spread=True)(df).groupBy("Tile_Num").agg(F.count("*").alias("n")).collect()) == sorted(200 // n + (k < 200 % n) for k in range(min(n, 200)))
