@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -119,3 +120,19 @@ def digest32(data):
 
 def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def best_entropy(text, size=20):
+    windows = [text[i : i + size] for i in range(max(1, len(text) - size + 1))]
+    return max(-sum(n / len(w) * math.log2(n / len(w)) for n in Counter(w).values()) for w in windows)
+
+
+def entropy_spans(text, limits, allowed):
+    """Candidates whose best window is above the limit of their class and that no allow rule knows."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
+        c = m[0]
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", c) else "alnum" if re.fullmatch("[A-Za-z0-9]+", c) else "base64"
+        if not any(re.search(p, c) for p in allowed) and best_entropy(c) > limits[kind]:
+            out.append(("entropy", *m.span()))
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from millrace.llm import packing, queries, scratch  # noqa: E402
+from millrace.llm import packing, queries, scratch, secret_scan  # noqa: E402
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
 AWKWARD = [
@@ -166,7 +166,9 @@ def test_secrets(spark, folder):
         r = found[d]
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex")), d
         assert r["base_sha256"] == brute.sha256(brute.joined(base)), d
-        assert set(brute.joined(base).split(",")) - {""} <= set(r["spans"].split(","))
+        kinds = ["assign", "access", "hex", "entropy"]
+        every = sorted(base + brute.entropy_spans(text, secret_scan.LIMITS, secret_scan.ALLOWED), key=lambda s: (s[1], kinds.index(s[0])))
+        assert r["spans"] == brute.joined(every), d
 
 
 def test_entropy(spark):
