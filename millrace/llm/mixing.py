@@ -30,7 +30,7 @@ from .words import count_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCH_LIMIT = 3
-BINS = 1 << 16
+BINS = 1 << 12
 SEED = 20240229
 
 
