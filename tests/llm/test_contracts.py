@@ -296,3 +296,42 @@ def test_pipeline(spark, awkward):
     assert sorted(d for d, _ in kept[1]) == sorted(d for d, (_, c) in groups.items() if c == d)
     assert all(not brute.personal(t) for _, t in kept[2])
     assert {d for d, _ in kept[3]} <= {d for d, _ in kept[2]} and {r["doc_id"] for r in packed} == {d for d, _ in kept[3]}
+
+
+@pytest.fixture(scope="module")
+def nulls(spark, tmp_path_factory):
+    """Nulls in every column, rows that repeat, and ids that repeat with other texts."""
+    folder = tmp_path_factory.mktemp("nulls")
+    text = " ".join(f"word{i % 40}" for i in range(60))
+    rows = [(None, text, "en", "a"), (None, text, None, None), (1, text, "en", "a"), (1, text, "en", "a"), (1, None, None, None), (2, text + " more", "en", None), (2, "other " * 30, None, "b"), (3, "", "en", "a"), (None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2).write.parquet(f"{folder}/documents.parquet")
+    pages = [(None, None, None), (None, "u", "x"), (5, "u", "x"), (5, "u", "x"), (6, None, "x"), (7, "v", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    turns = [(None, 0, "user", "hi"), (None, None, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    vectors = [(None, [1.0]), (0, [1.0]), (0, None), (1, [1.0]), (1, [1.0]), (2, [])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize(("name", "n"), [("op1_license_scans", 9), ("op2_quality_rules", 9), ("op3_best_fit_packing", 9), ("op4_minhash_near_dedup", 9), ("op5_source_mixing", 9), ("op6_secret_scans", 9), ("op7_exact_topk", 2), ("op8_pii", 9), ("op9_chat_formatting", 3), ("op10_warc", 6)])
+def test_nulls_and_repeats(spark, nulls, name, n):
+    assert len(queries.queries()[name](spark, nulls).collect()) == n
+
+
+def test_near_duplicates_with_nulls(spark, nulls):
+    out = sorted((tuple(r) for r in queries.op4_minhash_near_dedup(spark, nulls).collect()), key=repr)
+    assert {r[2] for r in out if r[0] in (1, 2)} == {1} and {r[2] for r in out if r[0] == 3} == {3}
+    assert all(r[2] is None and r[3] for r in out if r[0] is None)
+
+
+def test_archive_with_nulls(spark, nulls):
+    out = sorted((tuple(r) for r in queries.op10_warc(spark, nulls).collect()), key=repr)
+    kinds = {(r[0], r[1]): (r[3], r[4]) for r in out}
+    assert kinds == {(5, 1): ("response", None), (6, 1): ("revisit", 5), (7, 0): ("response", None), (None, 0): ("revisit", 7), (None, 1): ("revisit", 5)}
+
+
+def test_pipeline_with_nulls(spark, nulls):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, nulls).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
