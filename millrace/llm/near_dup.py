@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         near = pairs.join(p, F.col("a") == F.col("p.node")).join(q, F.col("b") == F.col("q.node")).filter(_possible(percent)).select("a", "b").distinct()
         return confirmed(near, full_sets, percent)
 
-    links, comp = None, None
+    links, comp, turn = None, None, 0
     live = members.join(active, "node").select("band", "node", F.col("node").alias("c"), F.col("score").alias("rank"))
     while True:
         new = scratch.table(linked(with_hub(live)), "dup-links")
@@ -314,7 +314,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             new = scratch.table(confirmed(pairs, full_sets, percent), "dup-links")
             comp = components(links.union(new)) if new.head(1) else comp
             break
-        live = live.withColumn("rank", F.xxhash64(F.lit(found), "node"))
+        turn += 1
+        live = live.withColumn("rank", F.xxhash64(F.lit(turn), "node"))
     ids = nodes.withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(ids, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     if comp is not None:
