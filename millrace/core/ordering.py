@@ -1,4 +1,4 @@
-"""Ordering rules with the four sort types of the reference's vocabulary."""
+"""Ordering rules: an expression and one of four sort types."""
 
 from __future__ import annotations
 

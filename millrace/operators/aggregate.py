@@ -44,7 +44,7 @@ class CountRecords(Operator):
 class WeightedAverage(Operator):
     """``sum(value * weight) / sum(weight)``, null where the weights sum to 0.
 
-    Weights of rows with a null value count, as in the reference.
+    Weights of rows with a null value count too.
     """
 
     value: str

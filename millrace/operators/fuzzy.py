@@ -30,8 +30,7 @@ class FuzzyMatch(Operator):
     passes the input through.  Every pair is made once (all comparisons are
     symmetric), and fields are compared side by side, not stacked.  ``block_on`` is
     an extension: only records equal in that expression are compared, which makes
-    the pairing an equality join.  ``exact`` scores mirrored strings, as in the
-    reference.
+    the pairing an equality join.  ``exact`` scores mirrored strings.
     """
 
     record_id: str
