@@ -4,10 +4,13 @@ A configuration is a multiset of lengths that fits a sequence.  Over the length
 histogram, which has at most ``CAPACITY`` entries whatever the corpus, the
 program asks for the fewest configurations that cover all pieces.  Multiplicative
 weights solve it: a length's price falls as it is covered, and the best
-configuration under the prices is a knapsack, found by dynamic programming.  The
-solution is rounded down to whole sequences, and best fit in order of falling
-length packs what rounding leaves, still on counts.  The prices also give a lower
-bound on the number of sequences.
+configurations under the prices are knapsacks, one dynamic program for all.  A round
+covers no length by more than a step, and rounds go on until every length is covered
+in full; where the cover is further than ``GAP`` from the lower bound that prices
+and sizes give, it is made again in smaller steps.  The amounts are rounded to whole
+sequences along their running sum, best fit in order of falling length packs what
+that leaves, still on counts, and if best fit alone needs fewer sequences its packing
+is taken.  The plan says what share of pieces configurations place.
 
 Only that histogram goes to the driver and only the plan, bounded in the same way,
 goes back.  Pieces find their place by rank within their length: counts by
@@ -39,8 +42,10 @@ from pyspark.sql.window import Window
 from . import scratch, workers
 
 CAPACITY = 2048
-ROUNDS = 300
-RATE = 0.5
+STEPS = (1 / 4, 1 / 8)
+RATE = 0.2
+NEAR = 0.03
+GAP = 0.001
 CACHE = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -143,7 +148,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
 
 class Plan(NamedTuple):
-    """Slots in order of (length, first rank): each has ``many`` sequences in turn."""
+    """Slots in order of (length, first rank): each has ``many`` sequences in turn.
+
+    ``cover`` is the fractional cover's total, ``by_configurations`` the share of pieces that its configurations place.
+    """
 
     length: np.ndarray
     first: np.ndarray
@@ -152,48 +160,97 @@ class Plan(NamedTuple):
     offset: np.ndarray
     sequences: int
     at_least: int
+    cover: float
+    by_configurations: float
 
 
-def best_configuration(value: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The configuration of highest value; ``value[l]`` is that of length ``l``, or -inf."""
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """By room: the highest value of its content, and a length in that content or 0; ``value[l]`` is that of length ``l``, or -inf."""
     best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    # Lengths that shorter ones replace at no loss are left out of the sums.
+    lengths, values, m = np.zeros(capacity, dtype=np.int64), np.zeros(capacity), 0
     for c in range(1, capacity + 1):
-        sums = value[1 : c + 1] + best[c - 1 :: -1] if c > 0 else value[:0]
-        k = int(sums.argmax())
-        best[c] = best[c - 1]
-        if sums[k] > best[c]:
-            best[c], last[c] = sums[k], k + 1
-    found: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if last[c]:
-            found[int(last[c])] = found.get(int(last[c]), 0) + 1
-            c -= int(last[c])
-        else:
-            c -= 1
-    return float(best[capacity]), found
-
-
-def configurations(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list[tuple[dict[int, int], float]], int]:
-    """A fractional solution as (configuration, amount), and the best lower bound met."""
-    present = counts > 0
-    bound = int(-(-(counts * np.arange(capacity + 1)).sum() // capacity))
-    log_w = np.zeros(capacity + 1)
-    solution: dict[tuple, float] = {}
-    for _ in range(rounds if present.any() else 0):
+        top, at = best[c - 1], 0
+        if m:
+            sums = values[:m] + best[c - lengths[:m]]
+            k = int(sums.argmax())
+            if sums[k] > top:
+                top, at = sums[k], lengths[k]
+        if value[c] > top * (1 + 1e-12):
+            top, at = value[c], c
+            lengths[m], values[m] = c, top
+            m += 1
+        best[c], last[c] = top, at
+    return best, last
+
+
+def contents(heads: np.ndarray, last: np.ndarray, capacity: int) -> list[dict[int, int]]:
+    """For each length in ``heads`` the best configuration that has it."""
+    found = [{int(n): 1} for n in heads]
+    filled = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0))
+    who, at = np.arange(len(heads)), filled[capacity - heads]
+    while (at > 0).any():
+        who, at = who[at > 0], at[at > 0]
+        for i, n in zip(who.tolist(), last[at].tolist(), strict=True):
+            found[i][n] = found[i].get(n, 0) + 1
+        at = filled[at - last[at]]
+    return found
+
+
+def size_bound(counts: np.ndarray, capacity: int) -> int:
+    """Sequences needed by sizes: long pieces share none, and short ones have the room these leave (Martello and Toth)."""
+    size = np.arange(capacity + 1)
+    many, total = np.append(0, counts.cumsum()), np.append(0, (counts * size).cumsum())  # of lengths below an index
+    half, bound = capacity // 2 + 1, 0
+    for a in range(capacity // 2 + 1):
+        room = (many[capacity - a + 1] - many[half]) * capacity - (total[capacity - a + 1] - total[half])
+        bound = max(bound, int(many[-1] - many[half]) + max(0, -int(-(total[half] - total[a] - room) // capacity)))
+    return bound
+
+
+def cover(counts: np.ndarray, capacity: int, step: float) -> tuple[dict[tuple, float], int]:
+    """Amounts of configurations that cover every length in full and no more, and the best bound by prices."""
+    size = np.arange(capacity + 1)
+    left, bound = counts.astype(float), 0
+    amounts: dict[tuple, float] = {}
+    # Each round covers a length by its step or what is left of it, so rounds are at most lengths / step.
+    while (left > 0).any():
+        lengths = np.flatnonzero(left > 0)
         price = np.full(capacity + 1, -np.inf)
-        price[present] = np.exp(log_w[present] - log_w[present].max()) / counts[present]
-        value, found = best_configuration(price, capacity)
-        if not found:
-            break
+        price[lengths] = size[lengths] * np.exp(RATE * left[lengths] / counts[lengths])
+        best, last = knapsack(price, capacity)
         # Prices over the best value are feasible for the dual.
-        bound = max(bound, int(np.ceil((price[present] * counts[present]).sum() / value - 1e-6)))
-        amount = min(counts[n] / k for n, k in found.items())
-        key = tuple(sorted(found.items(), reverse=True))
-        solution[key] = solution.get(key, 0.0) + amount
-        for n, k in found.items():
-            log_w[n] -= rate * k * amount / counts[n]
-    return [(dict(k), x) for k, x in solution.items()], bound
+        bound = max(bound, int(np.ceil((price[lengths] * counts[lengths]).sum() / best[capacity] - 1e-6)))
+        value = price[lengths] + best[capacity - lengths]
+        heads = lengths[np.argsort(-value, kind="stable")][: int((value >= (1 - NEAR) * best[capacity]).sum())]
+        most = np.minimum(left, step * counts)
+        room = most.tolist()
+        for found in contents(heads, last, capacity):
+            amount = min(room[n] / k for n, k in found.items())
+            if amount > 0:
+                key = tuple(sorted(found.items(), reverse=True))
+                amounts[key] = amounts.get(key, 0.0) + amount
+                for n, k in found.items():
+                    room[n] -= k * amount
+                    if room[n] < 1e-9 * counts[n]:
+                        room[n] = 0.0
+        left -= most - np.array(room)
+        left[left < 1e-9 * counts] = 0
+    return amounts, bound
+
+
+def configurations(counts: np.ndarray, capacity: int, gap: float = GAP) -> tuple[list[tuple[dict[int, int], float]], int]:
+    """A fractional cover as (configuration, amount), and the best lower bound met."""
+    best: dict[tuple, float] = {}
+    bound = size_bound(counts, capacity)
+    for step in STEPS if (counts > 0).any() else ():
+        amounts, by_prices = cover(counts, capacity, step)
+        bound = max(bound, by_prices)
+        if not best or sum(amounts.values()) < sum(best.values()):
+            best = amounts
+        if sum(best.values()) <= (1 + gap) * bound:
+            break
+    return [(dict(k), x) for k, x in best.items()], bound
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -229,22 +286,27 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, i
     return [(content, many) for groups in open_ for content, many in groups]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+def plan(counts: np.ndarray, capacity: int = CAPACITY, gap: float = GAP) -> Plan:
     """Where the pieces of each length go; ``counts[l]`` is how many have length ``l``."""
-    fractional, at_least = configurations(counts, capacity, rounds)
-    rest = counts.copy()
+    fractional, at_least = configurations(counts, capacity, gap)
+    rest = counts.tolist()
     packed: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    # The fullest first: what rounds to whole sequences is taken as long as pieces last.
-    for found, amount in sorted(fractional, key=lambda x: (-sum(n * k for n, k in x[0].items()), -x[1])):
-        many = min(int(amount), *(int(rest[n]) // k for n, k in found.items()))
+    # The fullest first; a fraction is carried to the next, and sequences are taken as long as pieces last.
+    carry = 0.0
+    for found, amount in sorted(fractional, key=lambda x: -sum(n * k for n, k in x[0].items())):
+        carry += amount
+        whole = int(carry + 1e-6)
+        carry -= whole
+        many = min(whole, *(rest[n] // k for n, k in found.items()))
         if many > 0:
             packed.append((tuple(found.items()), many))
             for n, k in found.items():
                 rest[n] -= k * many
-    packed += best_fit(rest, capacity)
+    share = 1 - sum(rest) / max(int(counts.sum()), 1)
+    packed += best_fit(np.array(rest), capacity)
     alone = best_fit(counts, capacity)
     if sum(m for _, m in alone) < sum(m for _, m in packed):
-        packed = alone
+        packed, share = alone, 0.0
     used = np.zeros(capacity + 1, dtype=np.int64)
     slots, sequence = [], 0
     for content, many in packed:
@@ -256,10 +318,10 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
         sequence += many
     slots.sort()
     columns = [np.array(c, dtype=np.int64) for c in (zip(*slots, strict=True) if slots else [()] * 5)]
-    return Plan(*columns, sequence, at_least)
+    return Plan(*columns, sequence, at_least, sum(x for _, x in fractional), share)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, gap: float = GAP) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece."""
     made = scratch.table(pieces(docs, capacity, vocabulary), "pack-pieces")
     by_part = made.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
@@ -267,7 +329,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
         counts[r["length"]] = r["n"]
-    todo = plan(counts, capacity, rounds)
+    todo = plan(counts, capacity, gap)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_part.select(F.col("part").alias("_p"), F.col("length").alias("_l"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
     ranked = made.join(firsts, (F.col("part") == F.col("_p")) & (F.col("length") == F.col("_l"))).withColumn("rank", F.col("rank") + F.col("_first"))

@@ -127,6 +127,24 @@ def test_packing(spark, folder):
     assert len(places) <= math.ceil(total / 2048) * 1.01 + 1
 
 
+def test_packing_configurations():
+    """Configurations cover every length, near the bound, and place most pieces."""
+    import numpy as np
+
+    lengths = np.random.default_rng(3).lognormal(4.5, 1.0, 60_000).astype(int) % 512 + 1
+    counts = np.bincount(lengths, minlength=513)
+    amounts, bound = packing.configurations(counts, 512)
+    covered = np.zeros(513)
+    for found, amount in amounts:
+        assert sum(n * k for n, k in found.items()) <= 512
+        for n, k in found.items():
+            covered[n] += k * amount
+    assert (covered >= counts * (1 - 1e-6)).all()
+    assert sum(x for _, x in amounts) <= bound * 1.001
+    made = packing.plan(counts, 512)
+    assert made.by_configurations > 0.9 and made.sequences <= bound * 1.001 + 1
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, folder, k, percent):
     from millrace.llm import near_dup
