@@ -1,7 +1,10 @@
 """License scans: sentences to known sentence identifiers, identifiers to rules.
 
-A text is cut into sentences, each normalised to lower-case words; those found in
-the sentence library get its identifiers.  The identifiers of a text, in order,
+A text is normalised to lower-case words with marks where it may be cut: hard marks at
+ends of sentences and blank lines, soft ones at single line breaks, colons and
+semicolons.  A library sentence is found from one mark to another, over any soft ones
+between; comment signs before its lines are not words.  Found sentences get their
+identifiers.  The identifiers of a text, in order,
 are matched against an ordered list of rules (the specific before the general);
 what a rule has matched is taken out, so that a later rule does not claim it too.
 
@@ -87,15 +90,37 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("RESERVED",)),
 )
 
-#: A sentence ends at a line break, or at . ! ? ; : before a blank or the end.
-ENDS = r"[.!?;:]*[\r\n]+|[.!?;:]+(?=[\x20\t]|$)"
+#: What takes the place of what, in order.  "|" is a hard mark, "_" a soft one; neither is left in the text before.
+MARKS = (
+    (r"[|_]", " "),
+    # Blank lines, also those of comment signs alone.
+    (r"(?>\r\n|[\r\n])(?:[^a-z0-9\r\n]*+(?>\r\n|[\r\n]))+", " | "),
+    # Signs and numbers before a line's words.
+    (r"(?:^|[\r\n]+)[^a-z0-9|\r\n]*+(?:(?:rem|dnl)(?=[\x20\t])|\(?[0-9a-z]\))?", "_"),
+    (r"(?<=gpl-[0-9]\.[0-9])\+", " or later "),
+    (r"\bv\.(?=[\x20\t_])", "v_"),
+    (r"[.!?;:]*[.!?][.!?;:]*(?=[\x20\t_]|$)", " | "),
+    (r"[;:]+(?=[\x20\t_]|$)", "_"),
+    (r"[^a-z0-9|_]+", " "),
+    (r" *_[ _]*", " _ "),
+    (r"(?: _)? \|(?: [|_])* ", " | "),
+)
 #: Only texts with one of these can hold a known sentence.
 CUES = r"(?i)licen[sc]e|copyright|permission is|redistribut|warrant|rights reserved|public domain|cc0"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-case letters and digits with single spaces between."""
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Lower-case letters and digits with single spaces and marks between, a hard mark at both ends."""
+    step = F.lower(text)
+    for sought, put in MARKS:
+        step = F.regexp_replace(step, sought, put)
+    return F.concat(F.lit("| "), step, F.lit(" |"))
+
+
+def sought() -> str:
+    """The pattern of a library sentence between marks, the longest first."""
+    texts = sorted((t for texts in SENTENCES.values() for t in texts), key=lambda t: (-len(t), t))
+    return "(?<=[|_] {1,3})(?:" + "|".join(t.replace(" ", "(?: _)? ") for t in texts) + ")(?= {1,3}[|_])"
 
 
 def scan(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +132,7 @@ def scan(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     library = {text: name for name, texts in SENTENCES.items() for text in texts}
     names = F.create_map(*[F.lit(x) for pair in library.items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.filter(F.transform(F.split(text, ENDS), normalised), lambda s: s.isin(list(library)))
+    known = F.transform(F.regexp_extract_all(marked(text), F.lit(sought()), F.lit(0)), lambda s: F.replace(s, F.lit(" _"), F.lit("")))
     none = F.array().cast("array<string>")
     found = F.when(text.rlike(CUES), F.transform(known, lambda s: F.element_at(names, s))).otherwise(none)
     step = docs.select("doc_id", *keep, found.alias("_ids"))

@@ -86,6 +86,44 @@ def test_licenses(spark, folder):
         assert expected <= set(found[d]["licenses"].split(",")), (d, expected, found[d])
 
 
+def license_texts(spark, texts):
+    from millrace.llm import licenses
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["sentence_ids"], r["licenses"]) for r in sorted(licenses.scan(docs).collect(), key=lambda r: r["doc_id"])]
+
+
+CANONICAL = {
+    "SPDX-License-Identifier: MIT": ("SPDX_MIT", "MIT"),
+    "SPDX-License-Identifier: GPL-3.0-or-later": ("SPDX_GPL3P", "GPL-3.0-or-later"),
+    "SPDX-License-Identifier: GPL-3.0+": ("SPDX_GPL3P", "GPL-3.0-or-later"),
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": ("MPL2_REF", "MPL-2.0"),
+    'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT': ("MIT_GRANT,MIT_NOTICE,AS_IS", "MIT"),
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See": ("GPL_REDIST,GPL_NO_WARRANTY", "GPL-3.0-or-later"),
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2) Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n": ("BSD_REDIST,BSD_SOURCE,BSD_BINARY", "BSD-2-Clause"),
+}
+
+
+def test_license_layouts(spark):
+    """Canonical texts as they are usually wrapped, plain and in comments."""
+    for before in ("", "# ", " * ", "// "):
+        texts = ["\n".join(before + line for line in text.split("\n")) for text in CANONICAL]
+        assert license_texts(spark, texts) == list(CANONICAL.values()), before
+
+
+def test_license_library(spark):
+    """Every library sentence on one line, and wrapped at half its words; not over a blank line or a full stop."""
+    from millrace.llm import licenses
+
+    own = {t: name for name, texts in licenses.SENTENCES.items() for t in texts if name != "RESERVED" and "public domain" not in t}
+    halves = [(" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])) for w in map(str.split, own)]
+    for between in (" ", "\n", "\r\n", "\n# "):
+        assert [x for x, _ in license_texts(spark, [f"Intro. {a}{between}{b}.\nMore text" for a, b in halves])] == list(own.values()), between
+    whole = set(own)
+    for between in ("\n\n", "\n#\n# ", ". "):
+        assert not any(x for (x, _), (a, b) in zip(license_texts(spark, [f"Intro. {a}{between}{b}." for a, b in halves]), halves, strict=True) if a not in whole and b not in whole), between
+
+
 def test_quality(spark, folder):
     found = {r["doc_id"]: r for r in queries.op2_quality_rules(spark, folder).collect()}
     docs = documents(spark, folder)
