@@ -262,6 +262,19 @@ def test_personal_data_kinds():
     assert "hunter2@host" not in clean and "123-45-6789" not in clean and "[SSN]" in clean
 
 
+def test_credentials():
+    """User and password of any host and length, beside the mail addresses that they look like."""
+    from millrace.llm import pii
+
+    for user, password, host in (("bob", "hunter2", "db.example.com"), ("bob", "pa$$word", "host.example"), ("u" * 70, "p" * 200, "host"), ("bob", "hunter2", "host")):
+        text = "a@b.example " * 50 + f"see https://{user}:{password}@{host}/x"
+        start = text.index("://") + 3
+        found = pii.find(text)
+        assert ("credential", start, start + len(user) + 1 + len(password)) in found
+        clean = pii.redact(text, found)
+        assert user not in clean and password not in clean and "pa$$" not in clean
+
+
 def test_topk(spark, sf):
     import numpy as np
 
