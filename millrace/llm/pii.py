@@ -37,7 +37,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USER = re.compile(r"[^\s:/@?#]++:[^\s/@?#]++@")
 _IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?: (?:number|no\.?|nr\.?))?[\s:#=]{1,3}([0-9][0-9-]{6,18}[0-9])(?![0-9])", re.I)
-_SSN = re.compile(r"[\s:#=]{0,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
+_SSN = re.compile(r"(?: (?i:number|no\.?|nr\.?))?[\s:#=]{0,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
 _STREET = re.compile(r"[\s:]{1,3}([0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd))\b")
 
 _CUES = {"@": "at", "://": "scheme", "+": "plus", "iban": "iban", "account": "account", "acct": "account", "konto": "account", "ssn": "ssn", "social security": "ssn", "address": "street", "adresse": "street"}
@@ -48,13 +48,17 @@ def _automaton() -> ahocorasick.Automaton:
     if not _automata:
         a = ahocorasick.Automaton()
         for cue, kind in _CUES.items():
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
         a.make_automaton()
         _automata.append(a)
     return _automata[0]
 
 
+def _lower(text: str) -> str:
+    """``text`` with ASCII letters in lower case and nothing else changed, so that offsets stay."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -78,7 +82,7 @@ def find(text: str) -> list[Span]:
     """Spans (kind, start, end) in order of kind, then start."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     mail_end = phone_end = 0
-    for last, (kind, size) in _automaton().iter(text):
+    for last, (kind, size) in _automaton().iter(_lower(text)):
         at, after = last - size + 1, last + 1
         if kind == "at":
             start = at

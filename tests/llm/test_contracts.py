@@ -275,6 +275,14 @@ def test_credentials():
         assert user not in clean and password not in clean and "pa$$" not in clean
 
 
+@pytest.mark.parametrize("cue", ["Social Security Number: ", "social security number ", "SSN no. ", "Ssn: ", "sOCIAL sECURITY ", "İ Social Security nr. "])
+def test_identifier_cues(cue):
+    from millrace.llm import pii
+
+    text = f"{cue}123-45-6789"
+    assert pii.find(text) == [("ssn", len(cue), len(text))]
+
+
 def test_topk(spark, sf):
     import numpy as np
 
