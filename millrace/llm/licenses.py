@@ -99,14 +99,15 @@ MARKS = (
     (r"(?:^|[\r\n]+)[^a-z0-9|\r\n]*+(?:(?:rem|dnl)(?=[\x20\t])|\(?[0-9a-z]\))?", "_"),
     (r"(?<=gpl-[0-9]\.[0-9])\+", " or later "),
     (r"\bv\.(?=[\x20\t_])", "v_"),
-    (r"[.!?;:]*[.!?][.!?;:]*(?=[\x20\t_]|$)", " | "),
-    (r"[;:]+(?=[\x20\t_]|$)", "_"),
+    (r"[.!?;:]*[.!?][.!?;:]*(?=[\x20\t_]|\z)", " | "),
+    (r"[;:]+(?=[\x20\t_]|\z)", "_"),
     (r"[^a-z0-9|_]+", " "),
     (r" *_[ _]*", " _ "),
     (r"(?: _)? \|(?: [|_])* ", " | "),
 )
-#: Only texts with one of these can hold a known sentence.
-CUES = r"(?i)licen[sc]e|copyright|permission is|redistribut|warrant|rights reserved|public domain|cc0"
+#: Every library sentence has one of these in one of its words.  Marks part words but never join or change them, so
+#: a text without any in its lower-case form holds no sentence.
+CUES = ("licen", "copyright", "redistribut", "warrant", "reserved", "domain", "cc0", "permission")
 
 
 def marked(text: Column) -> Column:
@@ -132,9 +133,10 @@ def scan(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     library = {text: name for name, texts in SENTENCES.items() for text in texts}
     names = F.create_map(*[F.lit(x) for pair in library.items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
+    some = F.lower(text).rlike("|".join(CUES))
     known = F.transform(F.regexp_extract_all(marked(text), F.lit(sought()), F.lit(0)), lambda s: F.replace(s, F.lit(" _"), F.lit("")))
     none = F.array().cast("array<string>")
-    found = F.when(text.rlike(CUES), F.transform(known, lambda s: F.element_at(names, s))).otherwise(none)
+    found = F.when(some, F.transform(known, lambda s: F.element_at(names, s))).otherwise(none)
     step = docs.select("doc_id", *keep, found.alias("_ids"))
     step = step.withColumn("_rest", F.concat(F.lit(","), F.array_join("_ids", ",,"), F.lit(",")))
     step = step.withColumn("_licenses", none)

@@ -21,18 +21,37 @@ def _words(text: str) -> str:
 
 
 def license_scans() -> str:
+    """Marks as the operator puts them, but each twice, so that a sentence can take one at either side for itself."""
     names = " ".join(f"WHEN {_text(t)} THEN {_text(name)}" for name, texts in licenses.SENTENCES.items() for t in texts)
-    known = ", ".join(_text(t) for texts in licenses.SENTENCES.values() for t in texts)
+    every = sorted((t for texts in licenses.SENTENCES.values() for t in texts), key=lambda t: (-len(t), t))
+    sought = "[|_] (" + "|".join(t.replace(" ", "(?: _ _)? ") for t in every) + ") [|_]"
+    marks = (
+        (r"\r\n|\r", r"\n"),
+        (r"[|_]", " "),
+        (r"\n(?:[^a-z0-9\n]*\n)+", " | "),
+        (r"(?:^|\n+)[^a-z0-9|\n]*(?:(?:rem|dnl)([\x20\t])|[0-9a-z]\))?", r"_\1"),
+        (r"(gpl-[0-9]\.[0-9])\+", r"\1 or later "),
+        (r"\bv\.([\x20\t_])", r"v_\1"),
+        (r"[.!?;:]*[.!?][.!?;:]*([\x20\t_]|$)", r" | \1"),
+        (r"[;:]+([\x20\t_]|$)", r"_\1"),
+        (r"[^a-z0-9|_]+", " "),
+        (r" *_[ _]*", " _ "),
+        (r"(?: _)? \|(?: [|_])* ", " | "),
+    )
+    marked = "lower(coalesce(text, ''))"
+    for pattern, put in marks:
+        marked = f"regexp_replace({marked}, '{pattern}', {'chr(10)' if put == chr(92) + 'n' else _text(put)}, 'g')"
     steps, found, rest = [], [], "r0"
     for i, (name, ids) in enumerate(licenses.RULES, 1):
-        sought = _text("".join(f",{x}," for x in ids))
-        found.append(f"CASE WHEN contains({rest}, {sought}) THEN {_text(name)} END")
-        steps.append(f"replace({rest}, {sought}, '#') AS r{i}")
+        sought_ids = _text("".join(f",{x}," for x in ids))
+        found.append(f"CASE WHEN contains({rest}, {sought_ids}) THEN {_text(name)} END")
+        steps.append(f"replace({rest}, {sought_ids}, '#') AS r{i}")
         rest = f"r{i}"
     return rf"""
-    WITH cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;:]*[\r\n]+', chr(10), 'g'), '[.!?;:]+([\x20\t]|$)', chr(10) || '\1', 'g'), chr(10)) AS s FROM documents),
-    plain AS (SELECT doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS s FROM cut),
-    ids AS (SELECT doc_id, list_transform(list_filter(s, lambda x: x IN ({known})), lambda x: CASE x {names} END) AS ids FROM plain),
+    WITH marked AS (SELECT doc_id, regexp_replace('| ' || {marked} || ' |', ' +', ' ', 'g') AS m FROM documents),
+    twice AS (SELECT doc_id, replace(replace(m, '|', '| |'), '_', '_ _') AS m FROM marked),
+    plain AS (SELECT doc_id, list_transform(regexp_extract_all(m, '{sought}', 1), lambda x: replace(x, ' _ _', '')) AS s FROM twice),
+    ids AS (SELECT doc_id, list_transform(s, lambda x: CASE x {names} END) AS ids FROM plain),
     rest AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS r0 FROM ids),
     steps AS (SELECT doc_id, ids, r0, {", ".join(steps)} FROM rest),
     hits AS (SELECT doc_id, ids, list_filter([{", ".join(found)}], lambda x: x IS NOT NULL) AS h FROM steps),

@@ -101,21 +101,53 @@ CANONICAL = {
     'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT': ("MIT_GRANT,MIT_NOTICE,AS_IS", "MIT"),
     "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See": ("GPL_REDIST,GPL_NO_WARRANTY", "GPL-3.0-or-later"),
     "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2) Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n": ("BSD_REDIST,BSD_SOURCE,BSD_BINARY", "BSD-2-Clause"),
+    'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.': ("APACHE2_REF,APACHE2_COMPLY,APACHE2_COMPLY,APACHE2_LIMIT", "Apache-2.0"),
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this\n  list of conditions and the following disclaimer.\n\n* Redistributions in binary form must reproduce the above copyright notice,\n  this list of conditions and the following disclaimer in the documentation\n  and/or other materials provided with the distribution.\n\n* Neither the name of the copyright holder nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this software without specific prior written permission.\n": ("BSD_REDIST,BSD_SOURCE,BSD_BINARY,BSD_NAME", "BSD-3-Clause"),
+    "All  rights\treserved.": ("RESERVED", "Proprietary"),
+    "This work is dedicated to the public-domain.": ("CC0_REF", "CC0-1.0"),
 }
 
 
+def license_sql(texts):
+    import duckdb
+
+    from millrace.llm import oracles
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    return [(r[2], r[3]) for r in sorted(con.execute(oracles.license_scans()).fetchall())]
+
+
+def test_license_sequences(spark):
+    """Sequences by ordered rules: a longer one takes its identifiers, others stay; order and gaps matter."""
+    mit, notice, as_is = (t + "." for t in (list(CANONICAL)[4].split("\n\n")[0].rstrip(":"), "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", list(CANONICAL)[4].split("\n\n")[2].partition(". IN")[0]))
+    other = "All rights reserved."
+    texts = [f"{mit}\n{notice}\n{as_is}", f"{notice}\n{mit}", f"{mit}\n{other}\n{notice}", f"{other}\n{mit}\n{notice}\nReleased under CC0 1.0.", notice, f"{mit} {mit} SPDX-License-Identifier: MIT"]
+    assert [x for _, x in license_texts(spark, texts)] == ["MIT", "MIT", "MIT,Proprietary", "MIT,CC0-1.0,Proprietary", "", "MIT"]
+    assert license_texts(spark, texts) == license_sql(texts)
+
+
+def test_license_cues():
+    """The first filter is no narrower than the match: each sentence has a cue within a word."""
+    from millrace.llm import licenses
+
+    assert all(any(c in word for c in licenses.CUES for word in t.split()) for texts in licenses.SENTENCES.values() for t in texts)
+
+
 def test_license_layouts(spark):
     """Canonical texts as they are usually wrapped, plain and in comments."""
     for before in ("", "# ", " * ", "// "):
         texts = ["\n".join(before + line for line in text.split("\n")) for text in CANONICAL]
         assert license_texts(spark, texts) == list(CANONICAL.values()), before
+        assert license_sql(texts) == list(CANONICAL.values()), before
 
 
 def test_license_library(spark):
     """Every library sentence on one line, and wrapped at half its words; not over a blank line or a full stop."""
     from millrace.llm import licenses
 
-    own = {t: name for name, texts in licenses.SENTENCES.items() for t in texts if name != "RESERVED" and "public domain" not in t}
+    own = {t: name for name, texts in licenses.SENTENCES.items() for t in texts}
     halves = [(" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])) for w in map(str.split, own)]
     for between in (" ", "\n", "\r\n", "\n# "):
         assert [x for x, _ in license_texts(spark, [f"Intro. {a}{between}{b}.\nMore text" for a, b in halves])] == list(own.values()), between
