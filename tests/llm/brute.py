@@ -122,17 +122,23 @@ def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
 
-def best_entropy(text, size=20):
-    windows = [text[i : i + size] for i in range(max(1, len(text) - size + 1))]
-    return max(-sum(n / len(w) * math.log2(n / len(w)) for n in Counter(w).values()) for w in windows)
-
-
-def entropy_spans(text, limits, allowed):
-    """Candidates whose best window is above the limit of their class and that no allow rule knows."""
+def best_window(text, size=20):
+    """Entropy and start of the first window with the highest."""
+    best, at = -1.0, 0
+    for i in range(max(1, len(text) - size + 1)):
+        w = text[i : i + size]
+        h = -sum(n / len(w) * math.log2(n / len(w)) for n in Counter(w).values())
+        if h > best + 1e-9:
+            best, at = h, i
+    return best, at
+
+
+def entropy_spans(text, classes, limits, allowed, placeholder):
+    """Runs of each class whose best window is above its limit and that no allow rule knows; none within another."""
     out = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or ""):
-        c = m[0]
-        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", c) else "alnum" if re.fullmatch("[A-Za-z0-9]+", c) else "base64"
-        if not any(re.search(p, c) for p in allowed) and best_entropy(c) > limits[kind]:
-            out.append(("entropy", *m.span()))
+    for kind, pattern in classes.items():
+        for m in re.finditer(pattern, text or ""):
+            h, at = best_window(m[0])
+            if h > limits[kind] and not any(re.search(p, m[0]) for p in allowed) and not re.search(placeholder, m[0][at : at + 20]) and not any(a <= m.start() and m.end() <= b for _, a, b in out):
+                out.append(("entropy", *m.span()))
     return out
