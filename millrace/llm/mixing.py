@@ -1,20 +1,23 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document gets the key ``-ln(u) / quality``, with ``u`` drawn from its id and
-the seed; the smallest keys come first.  A source whose target is ``e`` times its
-size and a rest is taken ``e`` times whole (complete epochs), and the rest is
+Each document gets the key ``-ln(u) / quality``, with ``u`` drawn from its id, its
+text and the seed; the smallest keys come first.  A source whose target is ``e`` times
+its size and a rest is taken ``e`` times whole (complete epochs), and the rest is
 selected by key: a prefix sum of sizes against the budget.
 
 The prefix sum never sorts a whole source in one task.  Keys fall into bins of
 about equal probability; sizes are summed by (source, bin) with map-side
 combining, a running sum over the bins finds the one bin where the budget ends,
-and only that bin's documents are put in order.  What comes out of it is one row
-a source, with the last key that is taken.
+and only that bin's keys are put in order, copies of a key counted before.  What comes
+out of it is one row a source: the key at which the budget ends, and how many of the
+rows that share it are taken.  Rows share a key only if they repeat id and text, so
+which of them are taken makes no difference; they are counted partition by partition.
 
 Defined results: null text counts as size 0; a null source is a source of its
-own, last in order; a null ``doc_id`` draws as an id of its own; rows that share
-key and id (repeated rows) are taken or left together; an empty table gives an
-empty table; other columns pass through, and clashing names are replaced.
+own, last in order; a null ``doc_id`` is an id like any other, shared by all rows
+without one; of rows that repeat id, source and text, some can be taken and others left;
+an empty table gives an empty table; other columns pass through, and clashing names
+are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import scratch
-from .words import count_words
+from .words import SPACES, count_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCH_LIMIT = 3
@@ -35,18 +38,24 @@ SEED = 20240229
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """A weight in [0.5, 1.5]: less for texts whose words are of unusual length.
+    """A weight in [0.25, 1.25] from three signs of running text.
 
-    Three to nine characters a word count as usual.  Empty and null texts: 0.5.
+    The share of letters (ASCII letters and all beyond ASCII) among characters that are
+    no white space; words of usual length, three to nine characters; and enough words,
+    ``size / (size + 20)``.  Their product, and a quarter.  Empty and null texts: 0.25.
     """
-    per_word = F.length(F.coalesce(text, F.lit(""))) / F.greatest(size, F.lit(1))
+    own = F.coalesce(text, F.lit(""))
+    letters = F.length(F.regexp_replace(own, r"[\x00-@\[-`{-\x7F]+", ""))
+    solid = F.length(F.regexp_replace(own, SPACES, ""))
+    per_word = solid / F.greatest(size, F.lit(1))
     off = F.greatest(F.lit(3.0) - per_word, per_word - F.lit(9.0), F.lit(0.0))
-    return F.lit(0.5) + F.exp(-off / F.lit(3.0)) * (size > 0).cast("double")
+    return F.lit(0.25) + (letters / F.greatest(solid, F.lit(1))) * F.exp(-off / F.lit(3.0)) * (size / (size + F.lit(20.0)))
 
 
-def uniform(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in (0, 1) made of the id and the seed alone: 52 bits of an MD5."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """A number in (0, 1) made of the id, the text and the seed alone: 52 bits of an MD5."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), own).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -79,16 +88,15 @@ def targets(by_source: DataFrame, weights: Sequence[float] = WEIGHTS, limit: flo
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``docs`` with ``size`` and ``_key``."""
     # The weight is read off the size by name: one count of words a text.
-    return docs.withColumn("size", count_words(F.col("text"))).withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"), F.col("size")))
+    return docs.withColumn("size", count_words(F.col("text"))).withColumn("_key", -F.log(uniform(F.col("doc_id"), F.col("text"), seed)) / quality_weight(F.col("text"), F.col("size")))
 
 
 def plan_sources(rows: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = EPOCH_LIMIT, bins: int = BINS) -> DataFrame:
-    """One row a source: ``source, source_size, target, epochs, _end, _cut``.
+    """One row a source: ``source, source_size, target, epochs, _cut, _some, _copies``.
 
-    ``rows`` has ``doc_id, source, size, _key``.  Documents in bins before
-    ``_end``, and those in it whose (key, id) is at or before ``_cut``, are taken
-    once more than ``epochs`` times.  Both are null where there is no budget left
-    to select for.
+    ``rows`` has ``source, size, _key``.  Documents of smaller keys than ``_cut`` are
+    taken once more than ``epochs`` times, and so are ``_some`` of the ``_copies`` rows
+    whose key it is.  ``_cut`` is null where there is no budget left to select for.
     """
     # exp(-key) is near uniform, so bins hold about as many documents each.
     binned = rows.withColumn("_bin", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(bins)))
@@ -106,19 +114,31 @@ def plan_sources(rows: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int
         .select(F.col("source").alias("_s"), F.col("_bin").alias("_end"), "_before", "_rest")
     )
     ends = scratch.table(ends, "mix-ends")
-    last = Window.partitionBy("source").orderBy("_key", F.col("doc_id").asc_nulls_first())
-    upto = F.col("_before") + F.sum("size").over(last)  # rows of equal key and id together
+    # Rows of one key are counted before the sort: combined map-side, one row a key.
+    at_end = binned.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_end"))).groupBy("source", "_key", "size", "_before", "_rest").agg(F.count(F.lit(1)).alias("_copies"))
+    upto = F.col("_before") + F.sum(F.col("size") * F.col("_copies")).over(Window.partitionBy("source").orderBy("_key", "size"))
+    # A copy on which the budget ends goes in if the sum is then nearer to it.
+    room = F.col("_rest") - (F.col("_upto") - F.col("size") * F.col("_copies"))
     at_end = (
-        binned.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bin") == F.col("_end")))
-        .withColumn("_upto", upto)
-        .withColumn("_from", F.col("_upto") - F.sum("size").over(Window.partitionBy("source", "_key", "doc_id")))
-        # The document on which the budget ends goes in if the sum is then nearer to it.
-        .withColumn("_in", F.col("_upto") - F.col("_rest") < F.col("_rest") - F.col("_from"))
+        at_end.withColumn("_upto", upto)
+        .filter(F.col("_upto") > F.col("_rest"))
+        .withColumn("_some", F.ceil(room / F.col("size") - F.lit(0.5)).cast("long"))
         .groupBy("source")
-        .agg(F.max(F.when(F.col("_in") | (F.col("_upto") <= F.col("_rest")), F.struct("_key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id")))).alias("_cut"), F.first("_end").alias("_end"))
-        .select(F.col("source").alias("_s"), "_cut", "_end")
+        .agg(F.min(F.struct("_key", "size", "_some", "_copies")).alias("_c"))
+        .select(F.col("source").alias("_s"), F.col("_c")["_key"].alias("_cut"), F.col("_c")["_some"].alias("_some"), F.col("_c")["_copies"].alias("_copies"))
     )
-    return by_source.join(at_end, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "epochs", F.col("_end"), F.col("_cut"))
+    return by_source.join(at_end, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "epochs", "_cut", "_some", "_copies")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_nth``, from 1 within each source: places within partitions, after the rows of the partitions before."""
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
+    before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    local = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_place")))
+    joined = local.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("_nth", F.col("_nth") + F.col("_first")).drop("_part", "_place", "_s", "_p", "_first")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = EPOCH_LIMIT, seed: int = SEED, bins: int = BINS, keep: Sequence[str] = ()) -> DataFrame:
@@ -131,8 +151,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = EPOCH_
     rows = sized(docs, seed) if keep else rows
     # The plan is a written table: Spark knows its size and broadcasts it only under its threshold.
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
-    own = F.struct(F.col("_key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"))
-    at = F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(bins))
-    extra = F.when(F.col("_end").isNull(), False).otherwise((at < F.col("_end")) | F.coalesce((at == F.col("_end")) & (own <= F.col("_cut")), F.lit(False)))
-    taken = F.col("size") * (F.col("epochs") + extra.cast("long"))
-    return rows.select("doc_id", *keep, "size", "source_size", "target", taken.alias("taken"))
+    at_cut = F.coalesce(F.col("_key") == F.col("_cut"), F.lit(False))
+    extra = F.coalesce(F.col("_key") < F.col("_cut"), F.lit(False)) | (at_cut & (F.col("_some") >= F.col("_copies")))
+
+    def out(rows: DataFrame, extra: Column) -> DataFrame:
+        taken = F.col("size") * (F.col("epochs") + extra.cast("long"))
+        return rows.select("doc_id", *keep, "size", "source_size", "target", taken.alias("taken"))
+
+    # Only a key of several rows that is taken in part needs its rows numbered.
+    parted = (F.col("_some") > 0) & (F.col("_some") < F.col("_copies"))
+    if plan.filter(parted).isEmpty():
+        return out(rows, extra)
+    some = at_cut & parted
+    numbered = _numbered(scratch.table(rows.filter(some), "mix-some"))  # written, so that its partitions stay as they are
+    return out(rows.filter(~F.coalesce(some, F.lit(False))), extra).union(out(numbered, F.col("_nth") <= F.col("_some")))

@@ -112,16 +112,17 @@ def source_mixing() -> str:
     weights = ", ".join(f"CAST({w} AS DOUBLE)" for w in mixing.WEIGHTS)
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len({_words("text")}) AS size FROM documents),
-    q AS (SELECT doc_id, source, size, length(t) / CAST(greatest(size, 1) AS DOUBLE) AS per_word, (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u FROM d),
-    k AS (SELECT doc_id, source, size, -ln(u) / (0.5 + CASE WHEN size > 0 THEN exp(-greatest(3 - per_word, per_word - 9, 0) / 3) ELSE 0 END) AS key FROM q),
+    q AS (SELECT doc_id, source, size, length(regexp_replace(t, '[\\x00-@\\[-`{{-\\x7F]+', '', 'g')) AS letters, length(regexp_replace(t, '{SPACES}', '', 'g')) AS solid, (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(t)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u FROM d),
+    p AS (SELECT *, solid / CAST(greatest(size, 1) AS DOUBLE) AS per_word FROM q),
+    k AS (SELECT doc_id, source, size, -ln(u) / (0.25 + letters / CAST(greatest(solid, 1) AS DOUBLE) * exp(-greatest(3 - per_word, per_word - 9, 0) / 3) * (size / (size + 20.0::DOUBLE))) AS key FROM p),
     s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, row_number() OVER (ORDER BY source ASC NULLS LAST) AS turn FROM d GROUP BY 1),
     w AS (SELECT *, [{weights}][(turn - 1) % {len(mixing.WEIGHTS)} + 1] AS w, {mixing.EPOCH_LIMIT} * n AS cap FROM s),
     l AS (SELECT *, (sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
     f AS (SELECT level FROM l WHERE level * w < cap ORDER BY cap / w, turn LIMIT 1),
     t AS (SELECT source, CAST(n AS BIGINT) AS source_size, round(least(cap, coalesce((SELECT level FROM f) * w, cap)), 6) AS target FROM l),
     e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
-    o AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id ASC NULLS FIRST RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY k.source, key, doc_id) AS here FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
-    SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN source_size > 0 AND (upto <= rest OR upto - rest < rest - (upto - here)) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o"""
+    o AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, row_no) AS upto FROM (SELECT *, row_number() OVER (ORDER BY key, doc_id) AS row_no FROM k) k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+    SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN source_size > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o"""
 
 
 def exact_topk() -> str:

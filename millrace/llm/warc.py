@@ -2,14 +2,20 @@
 
 Payload bytes are stored once, under the SHA-256 of the bytes; exact record
 headers are stored apart, one row a record, and name their payload by that digest
-and by the SHA-1 that the record format asks for.  Reading back checks each stored
-payload against its address and rebuilds the records through a join.
+and by the SHA-1 that the record format asks for.  Reading back rebuilds the records
+through a join and takes lengths and digests from the rebuilt bytes: those of a
+response from what follows its header, those of a revisit from what follows the header
+of the record it refers to, which holds the payload of the same address.
+
+A payload may belong to any share of the records.  Addresses with more than one record
+in ``HOT`` (so fewer than ``HOT`` of them) are dealt over ``SALTS`` tasks in both joins.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, that with the
 smallest id is the ``response``; the others are ``revisit`` records, which refer to
 it and carry no payload.  Smaller payloads are all responses.
 
-Defined results: null html is an empty payload; null url is an empty one; a null
+Defined results: null html is an empty payload; null url is an empty one, and
+line breaks in one are written as %0D and %0A; a null
 ``page_id`` comes after all others and is no one's reference unless alone; rows
 that repeat an id are records of their own and all of them responses if theirs is
 the smallest id; empty tables give an empty archive.
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from . import scratch
 
 MIN_REVISIT = 0
+HOT = 1000
+SALTS = 64
 DATE = "1970-01-01T00:00:00Z"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -47,15 +55,32 @@ def described(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", F.sha2("_p", 256).alias("address"), base32(F.sha1("_p")).alias("sha1"), F.length("_p").alias("n"))
 
 
+def hot_addresses(rows: DataFrame) -> DataFrame:
+    """``_h``: the addresses of more than one row in ``HOT``; fewer than ``HOT`` of them, so they can be broadcast."""
+    counts = rows.groupBy("address").agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1)).alias("_all"))
+    return counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * HOT > F.col("_all")).select(F.col("address").alias("_h"))
+
+
+def by_address(rows: DataFrame, single: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``single`` (one row an address, named ``_a``); rows of hot addresses are dealt over tasks."""
+    hot = F.broadcast(hot)
+    salt = F.when(F.col("_h").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
+    many = rows.join(hot, F.col("address") == F.col("_h"), "left").withColumn("_salt", salt).drop("_h")
+    salts = F.explode(F.when(F.col("_h").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    one = single.join(hot, F.col("_a") == F.col("_h"), "left").withColumn("_s", salts).drop("_h")
+    return many.join(one, (F.col("address") == F.col("_a")) & (F.col("_salt") == F.col("_s")), how).drop("_salt", "_s")
+
+
 def headers(rows: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """``page_id, header, address`` for each row that :func:`described` gives."""
     # The first id of each address: combined map-side, one row a task and address.
     first = rows.groupBy("address").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     # Only addresses that repeat need the join; the rest are responses as they are.
     repeated = first.filter("copies > 1").select(F.col("address").alias("_a"), "first_id")
-    rows = rows.join(repeated, F.col("address") == F.col("_a"), "left")
+    rows = by_address(rows, repeated, hot_addresses(rows), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("n") >= min_revisit)
-    target = F.regexp_replace("url", r"[\r\n]", "")
+    target = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda key, *v: F.concat(F.lit(f"{key}: "), *v, F.lit("\r\n"))
     header = F.concat(
@@ -80,8 +105,8 @@ def payloads(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
     """Write the archive: ``path/headers`` and ``path/payloads``, both Parquet."""
-    headers(scratch.table(described(pages), "warc-rows"), min_revisit).write.parquet(f"{path}/headers")
-    payloads(pages).write.parquet(f"{path}/payloads")
+    headers(scratch.table(described(pages), "warc-rows"), min_revisit).write.option("compression", "zstd").parquet(f"{path}/headers")
+    payloads(pages).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _field(header: Column, key: str) -> Column:
@@ -91,32 +116,41 @@ def _field(header: Column, key: str) -> Column:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row a record: ``page_id, header, record_type, refers_to, payload_digest, payload_bytes, payload, record``.
 
-    ``payload`` is the full payload of responses and revisits alike; ``record`` is
-    the record's bytes as an archive file holds them.  Who asks for neither moves
-    only digests and lengths through the join.  A stored payload that does
-    not match its address, or a header whose SHA-1 does not match, raises.
+    ``record`` is the record's bytes as an archive file holds them, rebuilt from header
+    and payload.  ``payload`` is the full payload of responses and revisits alike: for
+    a response it is cut out of its record by the header's length, for a revisit it is
+    that of the record it refers to.  A payload whose bytes do not match its
+    address, the header's length or the header's digest raises.
     """
     headers = spark.read.schema("page_id long, header string, address string").parquet(f"{path}/headers")
     stored = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
-    stored = stored.withColumnRenamed("address", "_a").withColumns({"_sha1": base32(F.sha1("payload")), "payload_bytes": F.length("payload").cast("long")})
-    stored = stored.filter(F.when(F.sha2("payload", 256) == F.col("_a"), True).otherwise(F.raise_error(F.concat(F.lit("payload does not match its address "), F.col("_a")))))
-    rows = headers.join(stored, F.col("address") == F.col("_a"))
-    digest = F.substring(_field(F.col("header"), "WARC-Payload-Digest"), 6, 32)
-    kind = _field(F.col("header"), "WARC-Type")
-    refers = F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n", 1)
+    rows = by_address(headers, stored.withColumnRenamed("address", "_a"), hot_addresses(headers), "inner")
+    kind, head = _field(F.col("header"), "WARC-Type"), F.col("header").cast("binary")
     body = F.when(kind == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
+    rows = rows.select("header", "address", kind.alias("record_type"), F.col("payload").alias("_stored"), F.concat(head, body, F.lit(END).cast("binary")).alias("record"))
+    length = _field(F.col("header"), "Content-Length").cast("int")
+    block = F.substring(F.col("record"), F.length(F.col("header").cast("binary")) + 1, F.length("record") - F.length(F.col("header").cast("binary")) - len(END))
+    payload = F.when(F.col("record_type") == "response", block).otherwise(F.col("_stored"))
+    sound = (F.length(block) == length) & (F.sha2("payload", 256) == F.col("address")) & (_digest() == base32(F.sha1("payload")))
+    rows = rows.withColumn("payload", payload)
+    rows = rows.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("record does not match its header or address "), F.col("address"))).cast("binary")))
+    number = lambda key: F.regexp_extract("header", rf"\r\n{key}: <urn:page:(-?[0-9]+)>\r\n", 1).try_cast("long")
     return rows.select(
-        F.regexp_extract("header", r"\r\nWARC-Record-ID: <urn:page:(-?[0-9]+)>\r\n", 1).try_cast("long").alias("page_id"),
+        number("WARC-Record-ID").alias("page_id"),
         "header",
-        kind.alias("record_type"),
-        refers.try_cast("long").alias("refers_to"),
-        F.when(digest == F.col("_sha1"), digest).otherwise(F.raise_error(F.lit("digest in the header does not match the payload"))).alias("payload_digest"),
-        "payload_bytes",
+        "record_type",
+        number("WARC-Refers-To").alias("refers_to"),
+        base32(F.sha1("payload")).alias("payload_digest"),
+        F.length("payload").cast("long").alias("payload_bytes"),
         "payload",
-        F.concat(F.col("header").cast("binary"), body, F.lit(END).cast("binary")).alias("record"),
+        "record",
     )
 
 
+def _digest() -> Column:
+    return F.substring(_field(F.col("header"), "WARC-Payload-Digest"), 6, 32)
+
+
 def export(spark: SparkSession, path: str, target: str) -> None:
     """Write the archive at ``path`` as plain record files under ``target``.
 

@@ -247,6 +247,25 @@ def test_mixing(spark, folder):
         assert abs(n - expected[s]) <= largest[s] / 2 + 1
 
 
+def test_mixing_shared_keys(spark):
+    """Rows that share id and text, with or without an id, are taken one by one; every source meets its target."""
+    from millrace.llm import mixing
+
+    text = "word " * 20
+    rows = [(None, text, "a")] * 1000 + [(7, text, "b")] * 500 + [(i, text, "c") for i in range(500)] + [(None, None, "d")] * 3 + [(None, f"{text}{i}", None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    first, again = (sorted(map(tuple, mixing.mix(docs, keep=("source",)).collect()), key=repr) for _ in range(2))
+    assert first == again and len(first) == len(rows)
+    assert first == sorted(((r["doc_id"], r["source"], r["size"], r["source_size"], r["target"], r["taken"]) for r in mixing.mix(docs.withColumn("taken", F.lit("clash")), keep=("source",)).collect()), key=repr)
+    taken, target, sizes = defaultdict(int), {}, defaultdict(int)
+    for _, s, size, _, t, n in first:
+        taken[s] += n
+        sizes[s] += size
+        target[s] = t
+    assert target == pytest.approx(brute.targets(sizes), abs=1e-5)
+    assert all(abs(taken[s] - target[s]) <= 11 for s in target)
+
+
 def test_secrets(spark, folder):
     found = {r["doc_id"]: r for r in queries.op6_secret_scans(spark, folder).collect()}
     for d, text, _ in documents(spark, folder):
@@ -388,6 +407,29 @@ def test_warc(spark, sf, tmp_path):
     assert found == {(p, len(b), brute.digest32(b), "response" if first[b] == p else "revisit", None if first[b] == p else first[b]) for p, b in rows.items()}
 
 
+def test_warc_rebuilds(spark, tmp_path):
+    """The query moves payload bytes through the join, spreads a hot payload, and changed bytes raise."""
+    from millrace.llm import warc
+
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "same é").otherwise(F.col("id").cast("string")).alias("html"))
+    warc.write(pages, str(tmp_path / "a"))
+    out = warc.read(spark, str(tmp_path / "a"))
+    assert "payload" in out.select("payload_digest")._jdf.queryExecution().executedPlan().toString()
+    rows = out.select("page_id", "payload_digest", "refers_to", "record").collect()
+    assert len(rows) == 3000
+    for r in rows:
+        same = r["page_id"] % 3 == 0
+        assert r["payload_digest"] == brute.digest32("same é".encode() if same else str(r["page_id"]).encode())
+        assert r["refers_to"] == (0 if same and r["page_id"] else None)
+    headers = spark.read.parquet(str(tmp_path / "a/headers"))
+    assert [r[0] for r in warc.hot_addresses(headers).collect()] == [r[0] for r in headers.filter("page_id = 0").select("address").collect()]
+    bad = spark.read.parquet(str(tmp_path / "a/payloads")).withColumn("payload", F.when(F.col("payload") == F.lit("7").cast("binary"), F.lit("8").cast("binary")).otherwise(F.col("payload")))
+    bad.write.parquet(str(tmp_path / "b/payloads"))
+    headers.write.parquet(str(tmp_path / "b/headers"))
+    with pytest.raises(Exception, match="does not match"):
+        warc.read(spark, str(tmp_path / "b")).select("payload_digest").collect()
+
+
 def test_warc_files(spark, tmp_path):
     """The exported files hold the records byte by byte."""
     from millrace.llm import warc
