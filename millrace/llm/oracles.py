@@ -81,6 +81,7 @@ def quality() -> str:
     c2 AS (SELECT *, n_chars_text - word_chars AS c_space FROM c),
     d AS (SELECT *, n_chars_text - c_upper - c_digit - c_space - c_symbol - c_beyond - c_other AS c_lower FROM c2),
     class_ref AS (SELECT l, {", ".join(f"sum({n}) AS {n}" for n in names)}, {" + ".join(f"sum({n})" for n in names)} AS total FROM d GROUP BY 1),
+    known AS (SELECT l, max(total) >= {rules.min_reference} AS known FROM ranked GROUP BY 1),
     class_js AS (SELECT id, sqrt(greatest(sum({term}) / 2, 0)) AS js FROM ({class_pairs}) GROUP BY 1),
     own AS (SELECT id, l, word, count(*) AS n FROM word JOIN common USING (l, word) GROUP BY 1, 2, 3),
     each AS (SELECT d.id, common.q, coalesce(own.n, 0) AS n, d.n_words FROM d JOIN common USING (l) LEFT JOIN own ON own.id = d.id AND own.word = common.word),
@@ -88,8 +89,8 @@ def quality() -> str:
     word_js AS (SELECT id, sqrt(greatest(sum({term}) / 2, 0)) AS js FROM word_pairs GROUP BY 1),
     out AS (SELECT d.doc_id, n_words, word_chars, c_symbol AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
       n_words < {rules.min_words_base} OR 100 * coalesce(covered.n, 0) > {rules.max_repeat_percent} * n_words AS base_failed,
-      CASE WHEN n_chars_text >= {rules.min_chars} THEN round(class_js.js, 5) END AS class_distance, CASE WHEN n_words >= {rules.min_words} THEN round(word_js.js, 5) END AS word_distance
-      FROM d LEFT JOIN dup USING (id) LEFT JOIN covered USING (id) LEFT JOIN class_js USING (id) LEFT JOIN word_js USING (id))
+      CASE WHEN known AND n_chars_text >= {rules.min_chars} THEN round(class_js.js, 5) END AS class_distance, CASE WHEN known AND n_words >= {rules.min_words} THEN round(word_js.js, 5) END AS word_distance
+      FROM d LEFT JOIN known USING (l) LEFT JOIN dup USING (id) LEFT JOIN covered USING (id) LEFT JOIN class_js USING (id) LEFT JOIN word_js USING (id))
     SELECT *, NOT base_failed AND coalesce(class_distance, 0) <= {rules.max_class_distance} AND coalesce(word_distance, 0) <= {rules.max_word_distance} AS kept FROM out"""
 
 

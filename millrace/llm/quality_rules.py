@@ -6,11 +6,13 @@ common words with one bin for every other word.  A document's own histograms are
 compared with them by Jensen-Shannon distance (base 2, so from 0 to 1).  Texts
 with too few characters or words for a fair histogram are not judged by them.
 
+Nor are texts of a language whose whole corpus is below ``min_reference`` words: its
+histograms would be little more than the texts' own.
+
 Everything is DataFrame expressions.  Counting words explodes (language, word)
-pairs, which combine map-side before the shuffle.  The references, one row a
-language, are at most ``MAX_LANGUAGES`` times ``COMMON`` words, so they go into
-the plan as literals; should a table name more languages, the rarest share one
-pooled reference.
+pairs, which combine map-side before the shuffle.  The references are written tables
+of one row a language, joined by language: Spark knows their size and broadcasts them
+only under its threshold, however many languages there are.
 
 Defined results: null text counts as empty; null language is a language of its
 own; repeated rows are judged one by one; empty tables give empty tables.
@@ -29,15 +31,16 @@ from . import scratch
 from .words import split_words
 
 COMMON = 16
-MAX_LANGUAGES = 256
 MIN_CHARS = 200
 MIN_WORDS = 50
+MIN_REFERENCE = 1000
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.55
 WINDOW = 8
 SYMBOLS = r"[^#*$%&|<>]+"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "beyond", "other")
-POOLED, NO_LANG = "\x00pooled", "\x00null"
+PLAIN = "abcdefghijklmnopqrstuvwxyz "
+NO_LANG = "\x00null"
 
 
 class Rules(NamedTuple):
@@ -46,6 +49,7 @@ class Rules(NamedTuple):
     common: int = COMMON
     min_chars: int = MIN_CHARS
     min_words: int = MIN_WORDS
+    min_reference: int = MIN_REFERENCE
     max_class_distance: float = MAX_CLASS_DISTANCE
     max_word_distance: float = MAX_WORD_DISTANCE
     min_words_base: int = 20
@@ -58,9 +62,10 @@ def _left(text: Column, drop: str) -> Column:
 
 
 def class_counts(text: Column) -> dict[str, Column]:
-    """Characters of each class but ``space`` and ``lower``.
+    """Characters of each class but ``space`` and ``lower``, from ``text`` without ``PLAIN``.
 
-    Each is one pass that deletes long runs; what they leave is small letters.
+    Each is one pass that deletes long runs.  Small letters and spaces, most of a text,
+    are of no class here; taken out once before, they spare these passes most of their work.
     """
     return {
         "upper": _left(text, "[^A-Z]+"),
@@ -71,9 +76,12 @@ def class_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def _window_hashes(words: Column, size: int) -> Column:
-    """A hash for each window of ``size`` words; the last few are of shorter ones."""
-    return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, size)]))
+def _half_hashes(words: Column) -> Column:
+    """A hash for each window of half of ``WINDOW`` words, from those of its pairs; the last few are of shorter ones."""
+    shifted = lambda h, by: F.slice(h, F.lit(1 + by), F.greatest(F.size(h) - by, F.lit(0)))
+    once = lambda column, made: F.element_at(F.transform(F.array(column), made), 1)
+    pairs = once(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.zip_with(h, shifted(h, 1), lambda a, b: F.xxhash64(a, b)))
+    return once(pairs, lambda h: F.zip_with(h, shifted(h, 2), lambda a, b: F.xxhash64(a, b)))
 
 
 def repeated_words(halves: Column, n_words: Column, size: int = WINDOW) -> Column:
@@ -102,65 +110,56 @@ def repeated_words(halves: Column, n_words: Column, size: int = WINDOW) -> Colum
     return F.when(F.size(F.array_distinct(own)) == F.size(own), F.lit(0)).otherwise(covered)
 
 
-def common_words(docs: DataFrame, common: int = COMMON) -> dict[str, list[tuple[str, float]]]:
-    """The most common words of each language with their shares, over all documents.
+def lang_key(lang: Column) -> Column:
+    return F.coalesce(lang, F.lit(NO_LANG))
+
 
-    Ranked by count, ties to the smaller word.
+def common_words(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """One row a language: ``_l``, its most common words ``_mine``, their shares ``_q`` and all its words ``_total``.
+
+    Over all documents; ranked by count, ties to the smaller word.
     """
     words = split_words(F.col("text"))
-    every = docs.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    every = docs.select(lang_key(F.col("lang")).alias("_l"), F.explode(words).alias("word")).groupBy("_l", "word").agg(F.count(F.lit(1)).alias("n"))
     every = scratch.table(every, "quality-words")
-    sizes = every.groupBy("lang").agg(F.sum("n").alias("n"))
-    named = [r["lang"] for r in sizes.orderBy(F.desc("n"), F.asc_nulls_last("lang")).limit(MAX_LANGUAGES).collect()]
-    by_key = every.groupBy(lang_key(F.col("lang"), named).alias("lang"), "word").agg(F.sum("n").alias("n"))
-    totals = {r["lang"]: r["n"] for r in by_key.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = every.groupBy("_l").agg(F.sum("n").alias("_total"))
     # Spark cuts each task's share to its first ``common`` before the shuffle.
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("word"))
-    top = by_key.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= common)
-    out: dict[str, list[tuple[str, float]]] = {}
-    for r in sorted(top.collect(), key=lambda r: (r["lang"], r["r"])):
-        out.setdefault(r["lang"], []).append((r["word"], r["n"] / totals[r["lang"]]))
-    return out
-
+    first = Window.partitionBy("_l").orderBy(F.desc("n"), F.asc("word"))
+    top = every.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= common).groupBy("_l").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("_top"))
+    shares = F.transform("_top", lambda x: x["n"] / F.col("_total"))
+    out = top.join(totals, "_l").select("_l", F.col("_top.word").alias("_mine"), shares.alias("_q"), "_total")
+    return scratch.table(out, "quality-common")
 
-def lang_key(lang: Column, named: list) -> Column:
-    """The name of the reference that rows of ``lang`` are compared with."""
-    own = F.coalesce(lang, F.lit(NO_LANG))
-    return F.when(own.isin([NO_LANG if x is None else x for x in named]), own).otherwise(F.lit(POOLED)) if named else F.lit(POOLED)
 
-
-def features(docs: DataFrame, common: dict[str, list[tuple[str, float]]], keep: Sequence[str] = ()) -> DataFrame:
-    """``doc_id``, the columns in ``keep``, ``_lang`` and the counts of each text."""
-    known = [k for k in common if k != POOLED]
+def features(docs: DataFrame, common: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, the columns in ``keep``, ``_lang``, the word reference and the counts of each text."""
     lines = F.split(F.col("_t"), "\n")
     worded = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup_lines = F.when(F.size(lines) == F.size(F.array_distinct(lines)), F.lit(0)).otherwise(F.size(worded) - F.size(F.array_distinct(worded)))
-    step = docs.select("doc_id", *keep, lang_key(F.col("lang"), known).alias("_lang"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    step = docs.select("doc_id", *keep, lang_key(F.col("lang")).alias("_lang"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    step = step.join(common, F.col("_lang") == F.col("_l"), "left").drop("_l")
+    step = step.withColumns({"_mine": F.coalesce("_mine", F.array().cast("array<string>")), "_q": F.coalesce("_q", F.array().cast("array<double>")), "_total": F.coalesce("_total", F.lit(0))})
+    kept = ["doc_id", *keep, "_lang", "_q", "_total", "_mine"]
     step = step.select(
-        "doc_id",
-        *keep,
-        "_lang",
+        *kept,
         split_words(F.col("_t")).alias("_w"),
         F.length("_t").cast("long").alias("n_chars_text"),
         dup_lines.cast("long").alias("n_dup_lines"),
-        *[c.alias(f"_c_{k}") for k, c in class_counts(F.col("_t")).items()],
+        F.translate("_t", PLAIN, "").alias("_rest"),
     )
-    any_word = sorted({w for words in common.values() for w, _ in words})
-    hits = F.filter("_w", lambda w: w.isin(any_word)) if any_word else F.array().cast("array<string>")
-    made = [c for c in step.columns if c != "_w"]
+    kept += ["n_chars_text", "n_dup_lines"]
     step = step.select(
-        *made,
+        *kept,
+        *[c.alias(f"_c_{k}") for k, c in class_counts(F.col("_rest")).items()],
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        _window_hashes(F.col("_w"), WINDOW // 2).alias("_h"),
-        F.concat(F.lit(" "), F.array_join(hits, "  "), F.lit(" ")).alias("_hits"),
-        _by_lang({k: F.array(*[F.lit(w) for w, _ in v]) for k, v in common.items()}, F.array().cast("array<string>")).alias("_mine"),
+        _half_hashes(F.col("_w")).alias("_h"),
+        F.concat(F.lit(" "), F.array_join(F.filter("_w", lambda w: F.array_contains("_mine", w)), "  "), F.lit(" ")).alias("_hits"),
     )
+    kept += [f"_c_{k}" for k in CLASSES if k not in ("lower", "space")] + ["n_words", "word_chars"]
     one = lambda c: ((F.length("_hits") - F.length(F.replace(F.col("_hits"), F.concat(F.lit(" "), c, F.lit(" ")), F.lit("")))) / (F.length(c) + 2)).cast("long")
     step = step.select(
-        *made,
-        "n_words",
-        "word_chars",
+        *[c for c in kept if c != "_mine"],
         repeated_words(F.col("_h"), F.col("n_words").cast("int")).cast("long").alias("n_repeat_words"),
         F.transform("_mine", one).alias("_common"),
         (F.col("n_chars_text") - F.col("word_chars")).alias("_c_space"),
@@ -172,13 +171,6 @@ def features(docs: DataFrame, common: dict[str, list[tuple[str, float]]], keep:
     return step.withColumn("_c_lower", lower)
 
 
-def _by_lang(values: dict[str, Column], otherwise: Column) -> Column:
-    out = None
-    for k, v in sorted(values.items()):
-        out = F.when(F.col("_lang") == k, v) if out is None else out.when(F.col("_lang") == k, v)
-    return otherwise if out is None else out.otherwise(otherwise)
-
-
 def distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base 2, of two arrays of shares of equal length."""
 
@@ -190,11 +182,12 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def class_shares(rows: DataFrame) -> dict[str, list[float]]:
-    """Each language's shares of character classes over all its documents."""
+def class_shares(rows: DataFrame) -> DataFrame:
+    """One row a language: ``_l`` and ``_class_q``, its shares of character classes over all its documents."""
     names = [f"_c_{k}" for k in CLASSES]
-    sums = rows.groupBy("_lang").agg(*[F.sum(c).alias(c) for c in names]).collect()
-    return {r["_lang"]: [r[c] / max(1, sum(r[x] for x in names)) for c in names] for r in sums}
+    sums = rows.groupBy(F.col("_lang").alias("_l")).agg(*[F.sum(c).alias(c) for c in names])
+    total = F.greatest(sum((F.col(c) for c in names), F.lit(0)), F.lit(1))
+    return scratch.table(sums.select("_l", F.array(*[F.col(c) / total for c in names]).alias("_class_q")), "quality-classes")
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ()) -> DataFrame:
@@ -203,21 +196,19 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ()) ->
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` are counts;
     ``base_failed`` holds for texts of under ``min_words_base`` words or with more
     than ``max_repeat_percent`` of them in repeated windows; ``class_distance``
-    and ``word_distance`` are null under the guards on length; ``kept`` is false
+    and ``word_distance`` are null under the guards on length and reference; ``kept`` is false
     where ``base_failed`` or a distance is above its limit.
     """
-    common = common_words(docs, rules.common)
-    rows = scratch.table(features(docs, common, keep), "quality-features")
-    classes = class_shares(rows)
-    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    class_ref = _by_lang({k: doubles(v) for k, v in classes.items()}, doubles([0.0] * len(CLASSES)))
-    word_ref = _by_lang({k: doubles([*(x for _, x in v), max(0.0, 1.0 - sum(x for _, x in v))]) for k, v in common.items()}, doubles([1.0]))
+    rows = scratch.table(features(docs, common_words(docs, rules.common), keep), "quality-features")
+    out = rows.join(class_shares(rows), F.col("_lang") == F.col("_l"))
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_chars_text"), F.lit(1))
-    in_common = F.aggregate("_common", F.lit(0).cast("long"), lambda acc, x: acc + x)
-    own_words = F.concat(F.transform("_common", lambda c: c / n), F.array((F.col("n_words") - in_common) / n))
+    add = lambda xs, zero: F.aggregate(xs, zero, lambda acc, x: acc + x)
+    own_words = F.concat(F.transform("_common", lambda c: c / n), F.array((F.col("n_words") - add(F.col("_common"), F.lit(0).cast("long"))) / n))
+    word_ref = F.concat("_q", F.array(F.greatest(F.lit(0.0), F.lit(1.0) - add(F.col("_q"), F.lit(0.0)))))
     own_classes = F.array(*[F.col(f"_c_{k}") / chars for k in CLASSES])
-    out = rows.withColumn("class_distance", F.when(F.col("n_chars_text") >= rules.min_chars, F.round(distance(own_classes, class_ref), 5)))
-    out = out.withColumn("word_distance", F.when(F.col("n_words") >= rules.min_words, F.round(distance(own_words, word_ref), 5)))
+    known = F.col("_total") >= rules.min_reference
+    out = out.withColumn("class_distance", F.when(known & (F.col("n_chars_text") >= rules.min_chars), F.round(distance(own_classes, F.col("_class_q")), 5)))
+    out = out.withColumn("word_distance", F.when(known & (F.col("n_words") >= rules.min_words), F.round(distance(own_words, word_ref), 5)))
     failed = (F.col("n_words") < rules.min_words_base) | (F.lit(100) * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent) * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > rules.max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > rules.max_word_distance)
     return out.select("doc_id", *keep, "n_words", "word_chars", F.col("_c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance")

@@ -31,6 +31,50 @@ def quality(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed
 
 
+def divergence(p, q):
+    """Jensen-Shannon distance, base 2."""
+    total = sum(x * math.log2(x / ((x + y) / 2)) for a, b in ((p, q), (q, p)) for x, y in zip(a, b, strict=True) if x > 0)
+    return math.sqrt(max(total / 2, 0))
+
+
+def char_classes(text):
+    def kind(c):
+        if "a" <= c <= "z":
+            return 0
+        if "A" <= c <= "Z":
+            return 1
+        if "0" <= c <= "9":
+            return 2
+        if c == " " or "\x09" <= c <= "\x0d":
+            return 3
+        return 4 if c in "#*$%&|<>" else 5 if c > "\x7f" else 6
+
+    n = Counter(map(kind, text or ""))
+    return [n[k] for k in range(7)]
+
+
+def language_distances(docs, rules):
+    """(class distance, word distance) of each (text, language)."""
+    words_of, classes_of = defaultdict(Counter), defaultdict(lambda: [0] * 7)
+    for text, lang in docs:
+        words_of[lang].update(words(text))
+        classes_of[lang] = [a + b for a, b in zip(classes_of[lang], char_classes(text), strict=True)]
+    out = []
+    for text, lang in docs:
+        total = sum(words_of[lang].values())
+        top = sorted(words_of[lang].items(), key=lambda x: (-x[1], x[0].encode()))[: rules.common]
+        own, n = Counter(words(text)), len(words(text))
+        known = total >= rules.min_reference
+        class_distance = word_distance = None
+        if known and len(text or "") >= rules.min_chars:
+            class_distance = divergence([x / len(text) for x in char_classes(text)], [x / sum(classes_of[lang]) for x in classes_of[lang]])
+        if known and n >= rules.min_words:
+            p, q = [own[w] / n for w, _ in top], [x / total for _, x in top]
+            word_distance = divergence([*p, 1 - sum(p)], [*q, max(0.0, 1 - sum(q))])
+        out.append((class_distance, word_distance))
+    return out
+
+
 def shingles(text, k):
     w = [bytes(x, "utf-8").lower() for x in words(text)]
     if not w:

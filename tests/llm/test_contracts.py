@@ -166,6 +166,27 @@ def test_quality(spark, folder):
         assert not (r["base_failed"] and r["kept"])
 
 
+@pytest.mark.parametrize("languages", [0, 300])
+def test_quality_distances(spark, folder, languages):
+    """Distances and verdicts against brute force, also with more languages than any fixed number."""
+    from millrace.llm import quality_rules
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rules = quality_rules.Rules()
+    if languages:
+        rules = rules._replace(min_reference=100)
+        docs = docs.withColumn("lang", F.concat(F.lit("x"), (F.col("doc_id") % languages).cast("string")))
+    rows = docs.select("doc_id", "text", "lang").collect()
+    expected = dict(zip([r["doc_id"] for r in rows], brute.language_distances([(r["text"], r["lang"]) for r in rows], rules), strict=True))
+    judged = 0
+    for r in quality_rules.judge(docs, rules).collect():
+        a, b = expected[r["doc_id"]]
+        assert (r["class_distance"], r["word_distance"]) == (pytest.approx(a, abs=2e-5), pytest.approx(b, abs=2e-5)), r["doc_id"]
+        assert r["kept"] == (not r["base_failed"] and (a or 0) <= rules.max_class_distance and (b or 0) <= rules.max_word_distance)
+        judged += a is not None
+    assert judged > 100
+
+
 def test_packing(spark, folder):
     from tokenizers import Tokenizer
 
