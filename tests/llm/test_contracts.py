@@ -387,6 +387,57 @@ def test_topk(spark, sf):
         assert found[int(ids[i])] == [(k + 1, v, -t) for k, (t, v) in enumerate(best)]
 
 
+@pytest.mark.parametrize("kind", ["clusters", "random", "equal", "ties"])
+def test_topk_pruning(kind, monkeypatch):
+    """Small batches, every level: results equal brute force; on clusters most pairs are dropped early."""
+    import numpy as np
+
+    from millrace.llm import topk
+
+    monkeypatch.setattr(topk, "BATCH", 8)
+    rng = np.random.default_rng(5)
+    if kind == "clusters":
+        centres = np.repeat(rng.normal(0, 60, (40, 16)), 4, 1)
+        x = centres[rng.integers(0, 40, 3000)] + rng.normal(0, 8, (3000, 64))
+    elif kind == "random":
+        x = rng.normal(0, 30, (3000, 64))
+    else:
+        x = np.tile(rng.normal(0, 30, 64), (500, 1)) if kind == "equal" else rng.integers(-1, 2, (3000, 4)).astype(float)
+    x, ids = np.floor(x), np.arange(len(x))
+    asked = ids % 20 == 0
+    seen = np.zeros(len(topk.LEVELS) + 1, dtype=np.int64)
+    found = topk.search_block(ids[asked], x[asked], ids, x, 20, seen)
+    for own, (who, scores) in zip(ids[asked], found, strict=True):
+        s = x @ x[own]
+        best = sorted((-int(s[j]), j) for j in ids if j != own)[:20]
+        assert list(zip((-scores).tolist(), who.tolist(), strict=True)) == best
+    assert seen[0] == asked.sum() * len(x) and (np.diff(seen) <= 0).all()
+    if kind == "clusters":
+        assert seen[-1] < 0.1 * seen[0] and seen[2] < 0.5 * seen[0], seen
+
+
+def test_topk_blocks(spark, monkeypatch):
+    """Many blocks of either kind, a vector that repeats in a third of the rows, other columns with clashing names."""
+    import numpy as np
+
+    from millrace.llm import topk
+
+    monkeypatch.setattr(topk, "QUERY_BYTES", 4 << 10)
+    monkeypatch.setattr(topk, "ROW_BYTES", 16 << 10)
+    x = np.random.default_rng(9).normal(0, 1, (900, 8))
+    x[::3] = x[0]
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumns({"v": F.lit("clash"), "qb": F.lit(1), "score": F.lit(2)})
+    assert topk.blocks(900, 8, 20) == (4, 1) and min(topk.blocks(9000, 8, 20)) > 1
+    whole = np.floor(64 * x)
+    found = defaultdict(list)
+    for r in sorted(topk.top_k(docs).collect(), key=lambda r: r["rank"]):
+        found[r["query_id"]].append((-r["score"], r["vec_id"]))
+    assert len(found) == 45
+    for i, best in found.items():
+        s = whole @ whole[i]
+        assert best == sorted((-int(s[j]), j) for j in range(900) if j != i)[:20]
+
+
 def test_topk_awkward(spark):
     from millrace.llm import topk
 
