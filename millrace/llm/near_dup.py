@@ -1,6 +1,8 @@
 """Near duplicates by fast similarity sketching, banding and exact verification.
 
-A document's set is its distinct word shingles (64-bit hashes of them).  The
+A document's set is its distinct word shingles, held as 64-bit hashes of them; sets
+are compared by those, so two shingles of one pair that share a hash count as one (for
+sets of a million, one pair in 30 million or so has any).  The
 sketch throws each element into ``COORDINATES`` bins, once a round, each round
 with its own hash; a bin keeps the least (round, hash).  After as many rounds as
 there are bins, further rounds throw all elements into one bin each, so every
@@ -19,8 +21,13 @@ components in a bucket are tested by sizes, sketches and counts of such shingles
 the low bits of their hash, and only those that pass all bounds are emitted and
 confirmed, so no link between components is lost for want of a hub.
 
-Two texts at a similarity of 0.85 share no band with probability under 1e-6; the
-one-bit filter is six deviations wide.
+Two texts share no band, the two orders not being independent, with probability about
+5e-5 at a similarity of 0.80 and 1e-7 at 0.85; the one-bit filter is six deviations wide.
+
+One text may be the hub of any share of all buckets, one bucket may hold any share
+of all texts, and one set may be that of any share of all rows.  So joins on hubs, bands and digests
+deal a key's rows over ``SALTS`` tasks; the other side, one row a key, is sent to those
+in use, and a hub's set so at most ``SALTS`` times and not once a pair.
 
 Components come from alternating large and small stars over written tables, so
 hubs of any degree combine map-side and nothing is gathered on the driver.
@@ -48,6 +55,7 @@ ORDERS = 2
 PAIRS_PER_MEMBER = 30
 WORTHWHILE = 0.01
 CELLS = 64
+SALTS = 128
 WORDS_KNOWN = 250_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,8 +162,18 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>")
 
 
+def dealt(many: DataFrame, single: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``single`` (one row a ``key``), a key's rows dealt over ``SALTS`` tasks by ``by``.
+
+    ``single`` is copied to those salts that a key has; they combine map-side.
+    """
+    many = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    used = many.select(key, "_salt").distinct()
+    return many.join(used.join(single, key), [key, "_salt"], how).drop("_salt")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``a, b`` whose sets have at least ``percent`` similarity."""
+    """Those of ``a, b`` whose sets have at least ``percent`` similarity; ``b`` may be in many pairs."""
 
     workers.ship(pairs.sparkSession)
 
@@ -172,7 +190,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return dealt(pairs.join(left, "a"), right, "b", "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,12 +203,12 @@ def components(links: DataFrame) -> DataFrame:
             both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-        moved = both.join(least, F.col("u") == F.col("_u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        moved = dealt(both, least, "u", "v")
         if large:
             out = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
-            out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("_u").alias("a"), F.col("m").alias("b")))
+            out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.filter("a != b").distinct()
 
     def mark(edges: DataFrame) -> tuple:
@@ -226,7 +244,7 @@ def _possible(percent: int) -> Column:
 def _open(now: DataFrame) -> DataFrame:
     """Those rows of ``band, node, c`` whose band has two components or more."""
     bands = now.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("band")
-    return now.join(bands, "band", "left_semi")
+    return dealt(now, bands, "band", "node")
 
 
 def shared_counts(live: DataFrame, full_sets: DataFrame) -> DataFrame:
@@ -254,7 +272,7 @@ def viable(live: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     step = live.join(own.select("node", "m", "n_shingles"), "node").filter(F.lit(100) * m >= F.lit(percent) * n)
     bands = step.groupBy("band").agg(F.min("n_shingles").alias("_least"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("band", "_least")
     other = F.greatest(F.col("_least"), F.ceil(F.lit(percent) * n / F.lit(100)))
-    return step.join(bands, "band").filter(F.lit(100 + percent) * m >= F.lit(percent) * (n + other)).select("band", "node", "c").distinct()
+    return dealt(step, bands, "band", "node").filter(F.lit(100 + percent) * m >= F.lit(percent) * (n + other)).select("band", "node", "c").distinct()
 
 
 def _overlap(percent: int) -> Column:
@@ -274,19 +292,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = scratch.table(sketches(docs, size), "dup-sketches")
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = scratch.table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "dup-nodes")
-    chosen = full.join(nodes.withColumnsRenamed({"d1": "_d1", "d2": "_d2"}), (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("doc_id") == F.col("node")))
+    # The ids that stand for a set are one row a set, so this join has no hot key but an id that repeats.
+    chosen = full.join(nodes.withColumnsRenamed({"d1": "_d1", "d2": "_d2"}), (F.col("doc_id") == F.col("node")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left_semi").withColumnRenamed("doc_id", "node")
     banded = chosen.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo != _hi").select("band", "n")
-    members = scratch.table(banded.join(buckets, "band").distinct(), "dup-members")
+    members = scratch.table(dealt(banded, buckets, "band", "node").select("band", "node", "n").distinct(), "dup-members")
     active = scratch.table(members.groupBy("node").agg(F.sum("n").alias("score")), "dup-active")
     # Ids stand for their texts only where they are unique; a repeated id's texts are all compared.
-    info = scratch.table(chosen.select("node", "n_shingles", *bits).join(active.select("node"), "node").distinct(), "dup-info")
+    info = scratch.table(chosen.join(active.select("node"), "node", "left_semi").select("node", "n_shingles", *bits).distinct(), "dup-info")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(active.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     full_sets = scratch.table(sets(texts, size), "dup-sets")
-    p, q = info.alias("p"), info.alias("q")
+    p = info.alias("p")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(p, F.col("a") == F.col("p.node")).join(q, F.col("b") == F.col("q.node")).filter(_possible(percent)).select("a", "b").distinct()
+        hubs = info.select(F.col("node").alias("b"), F.struct("n_shingles", *bits).alias("q"))
+        near = dealt(pairs.join(p, F.col("a") == F.col("p.node")), hubs, "b", "a").filter(_possible(percent)).select("a", "b").distinct()
         return confirmed(near, full_sets, percent)
 
     links, comp, turn = None, None, 0
@@ -316,17 +336,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             break
         turn += 1
         live = live.withColumn("rank", F.xxhash64(F.lit(turn), "node"))
-    ids = nodes.withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(ids, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    if comp is not None:
-        out = out.join(comp, "node", "left").withColumn("_c", F.coalesce("component", "node", "doc_id"))
-    else:
-        out = out.withColumn("_c", F.coalesce("node", "doc_id"))
+    # Sets first, one row each, then rows: a set's rows are dealt over tasks.
+    ids = nodes.withColumn("_c", F.col("node")) if comp is None else nodes.join(comp, "node", "left").withColumn("_c", F.coalesce("component", "node"))
+    digest = lambda: F.struct(F.col("d1").alias("d1"), F.col("d2").alias("d2"))
+    ids = ids.select(F.when(F.col("node").isNotNull(), digest()).alias("_digest"), "_c")
+    own = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), digest()).alias("_digest"))
+    linked_rows = dealt(own.filter("_digest IS NOT NULL"), ids, "_digest", "doc_id").select("doc_id", "n_shingles", "_c")
+    out = linked_rows.union(own.filter("_digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("_c")))
     return out.select("doc_id", "n_shingles", F.col("_c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_c"), F.lit(True)).alias("kept"))
 
 
 def with_hub(live: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each band's members with the one of highest rank, where components differ."""
+    """Pairs of each band's members (a) with the one of highest rank (b), where components differ."""
     hubs = live.groupBy("band").agg(F.max(F.struct("rank", "node", "c")).alias("_hub"))
-    pairs = live.join(hubs, "band").filter(F.col("c") != F.col("_hub")["c"])
-    return pairs.select(F.greatest("node", F.col("_hub")["node"]).alias("a"), F.least("node", F.col("_hub")["node"]).alias("b")).distinct()
+    pairs = dealt(live, hubs, "band", "node").filter(F.col("c") != F.col("_hub")["c"])
+    return pairs.select(F.col("node").alias("a"), F.col("_hub")["node"].alias("b")).distinct()
