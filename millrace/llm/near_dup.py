@@ -25,9 +25,10 @@ Two texts share no band, the two orders not being independent, with probability
 5e-5 at a similarity of 0.80 and 1e-7 at 0.85; the one-bit filter is six deviations wide.
 
 One text may be the hub of any share of all buckets, one bucket may hold any share
-of all texts, and one set may be that of any share of all rows.  So joins on hubs, bands and digests
-deal a key's rows over ``SALTS`` tasks; the other side, one row a key, is sent to those
-in use, and a hub's set so at most ``SALTS`` times and not once a pair.
+of all texts, and one set may be that of any share of all rows.  So joins on hubs,
+bands, digests and stars deal the rows of a key that has more than one in ``HOT`` of them
+over ``SALTS`` tasks; the other side, one row a key, goes to each of those, so a hub's
+set is sent ``SALTS`` times at most and not once a pair.
 
 Components come from alternating large and small stars over written tables, so
 hubs of any degree combine map-side and nothing is gathered on the driver.
@@ -55,7 +56,8 @@ ORDERS = 2
 PAIRS_PER_MEMBER = 30
 WORTHWHILE = 0.01
 CELLS = 64
-SALTS = 128
+HOT = 1000
+SALTS = 64
 WORDS_KNOWN = 250_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,14 +164,21 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>")
 
 
-def dealt(many: DataFrame, single: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``single`` (one row a ``key``), a key's rows dealt over ``SALTS`` tasks by ``by``.
+def dealt(many: DataFrame, single: DataFrame, key: str, by: str, counted: DataFrame) -> DataFrame:
+    """``many`` joined with ``single`` (one row a ``key``), rows of hot keys dealt over ``SALTS`` tasks by ``by``.
 
-    ``single`` is copied to those salts that a key has; they combine map-side.
+    ``counted`` has a row for each of ``many``'s, or ``key`` and ``n``.  Hot are keys of more than one
+    row in ``HOT``: fewer than ``HOT`` of them, so they can be broadcast.
     """
-    many = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    used = many.select(key, "_salt").distinct()
-    return many.join(used.join(single, key), [key, "_salt"], how).drop("_salt")
+    if counted.columns != [key, "n"]:
+        counted = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = F.broadcast(counted.agg(F.sum("n").alias("_all")))
+    hot = F.broadcast(counted.crossJoin(total).filter(F.col("n") * HOT > F.col("_all")).select(F.col(key).alias("_h")))
+    salt = F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    salts = F.when(F.col("_h").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    many = many.join(hot, F.col(key) == F.col("_h"), "left").withColumn("_salt", salt).drop("_h")
+    single = single.join(hot, F.col(key) == F.col("_h"), "left").withColumn("_salt", F.explode(salts)).drop("_h")
+    return many.join(single, [key, "_salt"]).drop("_salt")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +199,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return dealt(pairs.join(left, "a"), right, "b", "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return dealt(pairs.join(left, "a"), right, "b", "a", pairs).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,7 +213,7 @@ def components(links: DataFrame) -> DataFrame:
         else:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = dealt(both, least, "u", "v")
+        moved = dealt(both, least, "u", "v", both)
         if large:
             out = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -244,7 +253,7 @@ def _possible(percent: int) -> Column:
 def _open(now: DataFrame) -> DataFrame:
     """Those rows of ``band, node, c`` whose band has two components or more."""
     bands = now.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("band")
-    return dealt(now, bands, "band", "node")
+    return dealt(now, bands, "band", "node", now)
 
 
 def shared_counts(live: DataFrame, full_sets: DataFrame) -> DataFrame:
@@ -272,7 +281,7 @@ def viable(live: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     step = live.join(own.select("node", "m", "n_shingles"), "node").filter(F.lit(100) * m >= F.lit(percent) * n)
     bands = step.groupBy("band").agg(F.min("n_shingles").alias("_least"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("band", "_least")
     other = F.greatest(F.col("_least"), F.ceil(F.lit(percent) * n / F.lit(100)))
-    return dealt(step, bands, "band", "node").filter(F.lit(100 + percent) * m >= F.lit(percent) * (n + other)).select("band", "node", "c").distinct()
+    return dealt(step, bands, "band", "node", live).filter(F.lit(100 + percent) * m >= F.lit(percent) * (n + other)).select("band", "node", "c").distinct()
 
 
 def _overlap(percent: int) -> Column:
@@ -296,7 +305,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     chosen = full.join(nodes.withColumnsRenamed({"d1": "_d1", "d2": "_d2"}), (F.col("doc_id") == F.col("node")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left_semi").withColumnRenamed("doc_id", "node")
     banded = chosen.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo != _hi").select("band", "n")
-    members = scratch.table(dealt(banded, buckets, "band", "node").select("band", "node", "n").distinct(), "dup-members")
+    buckets = scratch.table(buckets, "dup-buckets")
+    members = scratch.table(dealt(banded, buckets, "band", "node", buckets).select("band", "node", "n").distinct(), "dup-members")
     active = scratch.table(members.groupBy("node").agg(F.sum("n").alias("score")), "dup-active")
     # Ids stand for their texts only where they are unique; a repeated id's texts are all compared.
     info = scratch.table(chosen.join(active.select("node"), "node", "left_semi").select("node", "n_shingles", *bits).distinct(), "dup-info")
@@ -306,13 +316,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     def linked(pairs: DataFrame) -> DataFrame:
         hubs = info.select(F.col("node").alias("b"), F.struct("n_shingles", *bits).alias("q"))
-        near = dealt(pairs.join(p, F.col("a") == F.col("p.node")), hubs, "b", "a").filter(_possible(percent)).select("a", "b").distinct()
-        return confirmed(near, full_sets, percent)
+        near = dealt(pairs.join(p, F.col("a") == F.col("p.node")), hubs, "b", "a", pairs).filter(_possible(percent)).select("a", "b").distinct()
+        return confirmed(scratch.table(near, "dup-near"), full_sets, percent)
 
     links, comp, turn = None, None, 0
     live = members.join(active, "node").select("band", "node", F.col("node").alias("c"), F.col("score").alias("rank"))
     while True:
-        new = scratch.table(linked(with_hub(live)), "dup-links")
+        new = scratch.table(linked(scratch.table(with_hub(live), "dup-pairs")), "dup-links")
         found = new.count()
         links = new if links is None else links.union(new)
         comp = components(links) if found else comp
@@ -331,7 +341,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             x, y = side.alias("p"), side.alias("q")
             apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.c") != F.col("q.c"))
             pairs = x.join(y, apart & _overlap(percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-            new = scratch.table(confirmed(pairs, full_sets, percent), "dup-links")
+            new = scratch.table(confirmed(scratch.table(pairs, "dup-pairs"), full_sets, percent), "dup-links")
             comp = components(links.union(new)) if new.head(1) else comp
             break
         turn += 1
@@ -341,7 +351,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     digest = lambda: F.struct(F.col("d1").alias("d1"), F.col("d2").alias("d2"))
     ids = ids.select(F.when(F.col("node").isNotNull(), digest()).alias("_digest"), "_c")
     own = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), digest()).alias("_digest"))
-    linked_rows = dealt(own.filter("_digest IS NOT NULL"), ids, "_digest", "doc_id").select("doc_id", "n_shingles", "_c")
+    linked_rows = dealt(own.filter("_digest IS NOT NULL"), ids, "_digest", "doc_id", own.filter("_digest IS NOT NULL")).select("doc_id", "n_shingles", "_c")
     out = linked_rows.union(own.filter("_digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("_c")))
     return out.select("doc_id", "n_shingles", F.col("_c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_c"), F.lit(True)).alias("kept"))
 
@@ -349,5 +359,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def with_hub(live: DataFrame) -> DataFrame:
     """Pairs of each band's members (a) with the one of highest rank (b), where components differ."""
     hubs = live.groupBy("band").agg(F.max(F.struct("rank", "node", "c")).alias("_hub"))
-    pairs = dealt(live, hubs, "band", "node").filter(F.col("c") != F.col("_hub")["c"])
+    pairs = dealt(live, hubs, "band", "node", live).filter(F.col("c") != F.col("_hub")["c"])
     return pairs.select(F.col("node").alias("a"), F.col("_hub")["node"].alias("b")).distinct()
