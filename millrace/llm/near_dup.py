@@ -359,5 +359,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def with_hub(live: DataFrame) -> DataFrame:
     """Pairs of each band's members (a) with the one of highest rank (b), where components differ."""
     hubs = live.groupBy("band").agg(F.max(F.struct("rank", "node", "c")).alias("_hub"))
-    pairs = dealt(live, hubs, "band", "node", live).filter(F.col("c") != F.col("_hub")["c"])
-    return pairs.select(F.col("node").alias("a"), F.col("_hub")["node"].alias("b")).distinct()
+    hubs = hubs.select("band", F.col("_hub")["node"].alias("b"), F.col("_hub")["c"].alias("_hub_c"))
+    pairs = dealt(live, hubs, "band", "node", live).filter(F.col("c") != F.col("_hub_c"))
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
