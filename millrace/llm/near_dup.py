@@ -24,11 +24,11 @@ confirmed, so no link between components is lost for want of a hub.
 Two texts share no band, the two orders not being independent, with probability about
 5e-5 at a similarity of 0.80 and 1e-7 at 0.85; the one-bit filter is six deviations wide.
 
-One text may be the hub of any share of all buckets, one bucket may hold any share
-of all texts, and one set may be that of any share of all rows.  So joins on hubs,
-bands, digests and stars deal the rows of a key that has more than one in ``HOT`` of them
-over ``SALTS`` tasks; the other side, one row a key, goes to each of those, so a hub's
-set is sent ``SALTS`` times at most and not once a pair.
+One text may be the hub of any share of all buckets, and one bucket may hold any share
+of all texts.  Rows of a bucket carry its size, so joins on buckets deal them over a task for
+each ``CHUNK`` of them; pairs carry the size of their hub's largest bucket, and a hub's set
+goes once to each ``CHUNK`` of its pairs and not with every pair.  Of sets that more than one row in
+``HOT`` has there are fewer than ``HOT``, so their components are broadcast.
 
 Components come from alternating large and small stars over written tables, so
 hubs of any degree combine map-side and nothing is gathered on the driver.
@@ -57,7 +57,7 @@ PAIRS_PER_MEMBER = 30
 WORTHWHILE = 0.01
 CELLS = 64
 HOT = 1000
-SALTS = 64
+CHUNK = 256
 WORDS_KNOWN = 250_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 2 * COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,25 +164,20 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>")
 
 
-def dealt(many: DataFrame, single: DataFrame, key: str, by: str, counted: DataFrame) -> DataFrame:
-    """``many`` joined with ``single`` (one row a ``key``), rows of hot keys dealt over ``SALTS`` tasks by ``by``.
+def _chunks(n: str) -> Column:
+    return F.ceil(F.col(n) / CHUNK).cast("int")
+
+
+def _salted(many: DataFrame, n: str, by: str) -> DataFrame:
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), _chunks(n)).cast("int"))
 
-    ``counted`` has a row for each of ``many``'s, or ``key`` and ``n``.  Hot are keys of more than one
-    row in ``HOT``: fewer than ``HOT`` of them, so they can be broadcast.
-    """
-    if counted.columns != [key, "n"]:
-        counted = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = F.broadcast(counted.agg(F.sum("n").alias("_all")))
-    hot = F.broadcast(counted.crossJoin(total).filter(F.col("n") * HOT > F.col("_all")).select(F.col(key).alias("_h")))
-    salt = F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    salts = F.when(F.col("_h").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    many = many.join(hot, F.col(key) == F.col("_h"), "left").withColumn("_salt", salt).drop("_h")
-    single = single.join(hot, F.col(key) == F.col("_h"), "left").withColumn("_salt", F.explode(salts)).drop("_h")
-    return many.join(single, [key, "_salt"]).drop("_salt")
+
+def _copied(single: DataFrame, n: str) -> DataFrame:
+    return single.withColumn("_salt", F.explode(F.sequence(F.lit(0), _chunks(n) - 1)))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``a, b`` whose sets have at least ``percent`` similarity; ``b`` may be in many pairs."""
+    """Those of ``a, b`` whose sets have at least ``percent`` similarity; ``b`` is in about ``size`` pairs, the same for each of them."""
 
     workers.ship(pairs.sparkSession)
 
@@ -199,7 +194,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return dealt(pairs.join(left, "a"), right, "b", "a", pairs).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    asked = pairs.groupBy("b").agg(F.max("size").alias("size")).join(right, "b")
+    return _salted(pairs.join(left, "a"), "size", "a").join(_copied(asked, "size").drop("size"), ["b", "_salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -212,12 +208,12 @@ def components(links: DataFrame) -> DataFrame:
             both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        moved = dealt(both, least, "u", "v", both)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+        moved = both.join(least, F.col("u") == F.col("_u"))
         if large:
             out = moved.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
-            out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+            out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("_u").alias("a"), F.col("m").alias("b")))
         return out.filter("a != b").distinct()
 
     def mark(edges: DataFrame) -> tuple:
@@ -251,9 +247,9 @@ def _possible(percent: int) -> Column:
 
 
 def _open(now: DataFrame) -> DataFrame:
-    """Those rows of ``band, node, c`` whose band has two components or more."""
-    bands = now.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("band")
-    return dealt(now, bands, "band", "node", now)
+    """Those rows of ``band, node, n, c`` whose band has two components or more."""
+    bands = now.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.max("n").alias("n")).filter("_lo != _hi").select("band", "n")
+    return _salted(now, "n", "node").join(_copied(bands, "n").drop("n"), ["band", "_salt"], "left_semi").drop("_salt")
 
 
 def shared_counts(live: DataFrame, full_sets: DataFrame) -> DataFrame:
@@ -279,9 +275,10 @@ def viable(live: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """
     m, n = F.col("m"), F.col("n_shingles")
     step = live.join(own.select("node", "m", "n_shingles"), "node").filter(F.lit(100) * m >= F.lit(percent) * n)
-    bands = step.groupBy("band").agg(F.min("n_shingles").alias("_least"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo != _hi").select("band", "_least")
-    other = F.greatest(F.col("_least"), F.ceil(F.lit(percent) * n / F.lit(100)))
-    return dealt(step, bands, "band", "node", live).filter(F.lit(100 + percent) * m >= F.lit(percent) * (n + other)).select("band", "node", "c").distinct()
+    bands = step.groupBy("band").agg(F.min("n_shingles").alias("_least"), F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.max("n").alias("n")).filter("_lo != _hi").select("band", "n", "_least")
+    other = F.greatest(F.col("_least"), F.ceil(F.lit(percent) * F.col("n_shingles") / F.lit(100)))
+    step = _salted(step, "n", "node").join(_copied(bands, "n").drop("n"), ["band", "_salt"])
+    return step.filter(F.lit(100 + percent) * m >= F.lit(percent) * (n + other)).select("band", "node", "n", "c").distinct()
 
 
 def _overlap(percent: int) -> Column:
@@ -300,13 +297,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     bits = [f"s{i}" for i in range(COORDINATES // 64)]
     rows = scratch.table(sketches(docs, size), "dup-sketches")
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = scratch.table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "dup-nodes")
+    nodes = scratch.table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "dup-nodes")
+    n_full = nodes.agg(F.sum("copies")).first()[0] or 0
     # The ids that stand for a set are one row a set, so this join has no hot key but an id that repeats.
-    chosen = full.join(nodes.withColumnsRenamed({"d1": "_d1", "d2": "_d2"}), (F.col("doc_id") == F.col("node")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left_semi").withColumnRenamed("doc_id", "node")
+    chosen = full.join(nodes.drop("copies").withColumnsRenamed({"d1": "_d1", "d2": "_d2"}), (F.col("doc_id") == F.col("node")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left_semi").withColumnRenamed("doc_id", "node")
     banded = chosen.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo != _hi").select("band", "n")
-    buckets = scratch.table(buckets, "dup-buckets")
-    members = scratch.table(dealt(banded, buckets, "band", "node", buckets).select("band", "node", "n").distinct(), "dup-members")
+    members = scratch.table(banded.join(buckets, "band").distinct(), "dup-members")
     active = scratch.table(members.groupBy("node").agg(F.sum("n").alias("score")), "dup-active")
     # Ids stand for their texts only where they are unique; a repeated id's texts are all compared.
     info = scratch.table(chosen.join(active.select("node"), "node", "left_semi").select("node", "n_shingles", *bits).distinct(), "dup-info")
@@ -314,21 +311,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     full_sets = scratch.table(sets(texts, size), "dup-sets")
     p = info.alias("p")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        hubs = info.select(F.col("node").alias("b"), F.struct("n_shingles", *bits).alias("q"))
-        near = dealt(pairs.join(p, F.col("a") == F.col("p.node")), hubs, "b", "a", pairs).filter(_possible(percent)).select("a", "b").distinct()
+    def linked(live: DataFrame) -> DataFrame:
+        pairs = with_hub(live, info.select(F.col("node").alias("b"), F.struct("n_shingles", *bits).alias("q")))
+        near = pairs.join(p, F.col("a") == F.col("p.node")).filter(_possible(percent)).select("a", "b", "size").distinct()
         return confirmed(scratch.table(near, "dup-near"), full_sets, percent)
 
     links, comp, turn = None, None, 0
-    live = members.join(active, "node").select("band", "node", F.col("node").alias("c"), F.col("score").alias("rank"))
+    live = members.join(active, "node").select("band", "node", "n", F.col("node").alias("c"), F.col("score").alias("rank"))
     while True:
-        new = scratch.table(linked(scratch.table(with_hub(live), "dup-pairs")), "dup-links")
+        new = scratch.table(linked(live), "dup-links")
         found = new.count()
         links = new if links is None else links.union(new)
         comp = components(links) if found else comp
-        now = live.select("band", "node")
+        now = live.select("band", "node", "n")
         now = now.join(comp, "node", "left") if comp is not None else now.withColumn("component", F.lit(None).cast("long"))
-        live = scratch.table(_open(now.select("band", "node", F.coalesce("component", "node").alias("c"))), "dup-live")
+        live = scratch.table(_open(now.select("band", "node", "n", F.coalesce("component", "node").alias("c"))), "dup-live")
         own = scratch.table(info.join(shared_counts(live, full_sets), "node"), "dup-shared")
         live = scratch.table(viable(live, own, percent), "dup-live")
         sizes = live.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
@@ -337,28 +334,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if not left["cross"]:
             break
         if left["cross"] <= PAIRS_PER_MEMBER * left["n"] or found < WORTHWHILE * texts_left:
-            side = scratch.table(live.join(own, "node"), "dup-side")
+            side = scratch.table(live.drop("n").join(own, "node"), "dup-side")
             x, y = side.alias("p"), side.alias("q")
             apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.c") != F.col("q.c"))
             pairs = x.join(y, apart & _overlap(percent)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-            new = scratch.table(confirmed(scratch.table(pairs, "dup-pairs"), full_sets, percent), "dup-links")
+            pairs = scratch.table(pairs, "dup-pairs")
+            sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("size"))
+            new = scratch.table(confirmed(pairs.join(sizes, "b"), full_sets, percent), "dup-links")
             comp = components(links.union(new)) if new.head(1) else comp
             break
         turn += 1
         live = live.withColumn("rank", F.xxhash64(F.lit(turn), "node"))
-    # Sets first, one row each, then rows: a set's rows are dealt over tasks.
+    # Sets first, one row each, then rows.
     ids = nodes.withColumn("_c", F.col("node")) if comp is None else nodes.join(comp, "node", "left").withColumn("_c", F.coalesce("component", "node"))
-    digest = lambda: F.struct(F.col("d1").alias("d1"), F.col("d2").alias("d2"))
-    ids = ids.select(F.when(F.col("node").isNotNull(), digest()).alias("_digest"), "_c")
-    own = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), digest()).alias("_digest"))
-    linked_rows = dealt(own.filter("_digest IS NOT NULL"), ids, "_digest", "doc_id", own.filter("_digest IS NOT NULL")).select("doc_id", "n_shingles", "_c")
-    out = linked_rows.union(own.filter("_digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("_c")))
+    ids = ids.select(F.struct("d1", "d2").alias("_digest"), F.col("copies") * HOT > n_full, "_c").toDF("_digest", "_hot", "_c")
+    ids = scratch.table(ids, "dup-ids")
+    hot = F.broadcast(ids.filter("_hot").select("_digest", "_c"))
+    own = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.struct("d1", "d2")).alias("_digest"))
+    some = own.filter("_digest IS NOT NULL")
+    out = some.join(hot, "_digest").union(some.join(hot.select("_digest"), "_digest", "left_anti").join(ids.filter("NOT _hot").select("_digest", "_c"), "_digest"))
+    out = out.drop("_digest").union(own.filter("_digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("_c")))
     return out.select("doc_id", "n_shingles", F.col("_c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_c"), F.lit(True)).alias("kept"))
 
 
-def with_hub(live: DataFrame) -> DataFrame:
-    """Pairs of each band's members (a) with the one of highest rank (b), where components differ."""
-    hubs = live.groupBy("band").agg(F.max(F.struct("rank", "node", "c")).alias("_hub"))
-    hubs = hubs.select("band", F.col("_hub")["node"].alias("b"), F.col("_hub")["c"].alias("_hub_c"))
-    pairs = dealt(live, hubs, "band", "node", live).filter(F.col("c") != F.col("_hub_c"))
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+def with_hub(live: DataFrame, info: DataFrame) -> DataFrame:
+    """``a, b, size, q``: each band's members with the one of highest rank, where components differ.
+
+    ``size`` is that of the hub's largest band and ``q`` what ``info`` (b, q) has of the hub.
+    """
+    hubs = live.groupBy("band").agg(F.max(F.struct("rank", "node", "c")).alias("_hub"), F.max("n").alias("n"))
+    hubs = scratch.table(hubs.select("band", F.col("_hub")["node"].alias("b"), F.col("_hub")["c"].alias("_hub_c"), "n"), "dup-hubs")
+    own = hubs.groupBy("b").agg(F.max("n").alias("size")).join(info, "b")
+    pairs = _salted(live, "n", "node").join(_copied(hubs.join(own, "b"), "n").drop("n"), ["band", "_salt"]).filter(F.col("c") != F.col("_hub_c"))
+    return pairs.select(F.col("node").alias("a"), "b", "size", "q")
