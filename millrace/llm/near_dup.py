@@ -294,6 +294,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Links join documents whose shingle sets have at least ``percent`` similarity;
     ``component_id`` is the smallest id reachable and ``kept`` marks its document.
     """
+    with scratch.only(docs.sparkSession, "dup-sketches", "dup-ids"):
+        rows, ids = _components_of_sets(docs, size, percent)
+    # Sets first, one row each, then rows.
+    hot = F.broadcast(ids.filter("_hot").select("_digest", "_c"))
+    own = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.struct("d1", "d2")).alias("_digest"))
+    some = own.filter("_digest IS NOT NULL")
+    out = some.join(hot, "_digest").union(some.join(hot.select("_digest"), "_digest", "left_anti").join(ids.filter("NOT _hot").select("_digest", "_c"), "_digest"))
+    out = out.drop("_digest").union(own.filter("_digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("_c")))
+    return out.select("doc_id", "n_shingles", F.col("_c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_c"), F.lit(True)).alias("kept"))
+
+
+def _components_of_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and ``_digest, _hot, _c``: each set's component and whether more than one row in ``HOT`` has it."""
     bits = [f"s{i}" for i in range(COORDINATES // 64)]
     rows = scratch.table(sketches(docs, size), "dup-sketches")
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -345,16 +358,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             break
         turn += 1
         live = live.withColumn("rank", F.xxhash64(F.lit(turn), "node"))
-    # Sets first, one row each, then rows.
     ids = nodes.withColumn("_c", F.col("node")) if comp is None else nodes.join(comp, "node", "left").withColumn("_c", F.coalesce("component", "node"))
-    ids = ids.select(F.struct("d1", "d2").alias("_digest"), F.col("copies") * HOT > n_full, "_c").toDF("_digest", "_hot", "_c")
-    ids = scratch.table(ids, "dup-ids")
-    hot = F.broadcast(ids.filter("_hot").select("_digest", "_c"))
-    own = rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.struct("d1", "d2")).alias("_digest"))
-    some = own.filter("_digest IS NOT NULL")
-    out = some.join(hot, "_digest").union(some.join(hot.select("_digest"), "_digest", "left_anti").join(ids.filter("NOT _hot").select("_digest", "_c"), "_digest"))
-    out = out.drop("_digest").union(own.filter("_digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("_c")))
-    return out.select("doc_id", "n_shingles", F.col("_c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("_c"), F.lit(True)).alias("kept"))
+    return rows, scratch.table(ids.select(F.struct("d1", "d2").alias("_digest"), (F.col("copies") * HOT > n_full).alias("_hot"), "_c"), "dup-ids")
 
 
 def with_hub(live: DataFrame, info: DataFrame) -> DataFrame:

@@ -199,7 +199,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), keep: Sequence[str] = ()) ->
     and ``word_distance`` are null under the guards on length and reference; ``kept`` is false
     where ``base_failed`` or a distance is above its limit.
     """
-    rows = scratch.table(features(docs, common_words(docs, rules.common), keep), "quality-features")
+    with scratch.only(docs.sparkSession, "quality-features"):
+        rows = scratch.table(features(docs, common_words(docs, rules.common), keep), "quality-features")
     out = rows.join(class_shares(rows), F.col("_lang") == F.col("_l"))
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_chars_text"), F.lit(1))
     add = lambda xs, zero: F.aggregate(xs, zero, lambda acc, x: acc + x)

@@ -572,7 +572,28 @@ def test_archive_with_nulls(spark, nulls):
     assert kinds == {(5, 1): ("response", None), (6, 1): ("revisit", 5), (7, 0): ("response", None), (None, 0): ("revisit", 7), (None, 1): ("revisit", 5)}
 
 
+def test_scratch(spark):
+    """Tables that are done with go; on a cluster a shared folder has to be named."""
+    from types import SimpleNamespace
+
+    with scratch.owned() as made, scratch.only(spark, "kept"):
+        kept = scratch.table(spark.range(3), "kept")
+        scratch.table(spark.range(3), "gone")
+    assert kept.count() == 3 and len(made) == 2
+    assert [Path(p.removeprefix("file:")).exists() for p in made] == [True, False]
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: other), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(unset)
+
+
 def test_pipeline_with_nulls(spark, nulls):
     import corpus_pipeline
 
+    docs = spark.read.parquet(f"{nulls}/documents.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, docs, nulls).collect()
+    # One text under id 1, its near copy under 2 gone; the copies without an id go with it; rows without words stay.
+    assert sorted((r["doc_id"] is None, r["text"] in (None, "")) for r in kept).count((True, False)) == 0
+    first = corpus_pipeline.run(spark, nulls)
+    second = corpus_pipeline.run(spark, nulls)
+    assert first.count() == second.count()
     assert corpus_pipeline.run(spark, nulls).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
