@@ -2,33 +2,37 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and reread as the next stage's ``docs``.  So when a stage
-starts, what the one before kept in the shared folder is done with and deleted.
+starts, what the one before it kept in the shared folder is done with and deleted.
+What the last stage keeps stays as long as the session, as its result is still read; and
+each thread has its own notes, so runs do not delete each other's tables.
 """
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm import mixing, near_dup, packing, pii, quality_rules, scratch
+from millrace.llm import mixing, near_dup, packing, pii, quality_rules, scratch, words
 
-_done_with: list[str] = []
+_done_with: ContextVar[tuple[str, ...]] = ContextVar("done_with", default=())
 
 
 def _stage(function):
-    """Deletes what earlier stages left, and notes what this one makes."""
+    """Deletes what the stage before left, and notes what this one makes."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _done_with:
-            scratch.drop(spark, _done_with.pop())
+        for path in _done_with.get():
+            scratch.drop(spark, path)
         with scratch.owned() as paths:
             out = function(spark, docs, sf_dir)
-        _done_with.extend(paths)
+        _done_with.set(() if function is STAGES[-1][1].__wrapped__ else tuple(paths))
         return out
 
-    run_stage.__name__, run_stage.__doc__ = function.__name__, function.__doc__
-    return run_stage
+    return wraps(function)(run_stage)
 
 
 @_stage
@@ -42,12 +46,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, 0.8 or more.
 
-    Rows that repeat an id are one document; those without an id all stay.
+    Rows that repeat an id are one document.  A row without an id goes by a number
+    above all usual ids, made of its text, so that those with an id stay before it;
+    rows with neither id nor words all stay.
     """
-    kept = near_dup.near_duplicates(docs, size=5, percent=80).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    one = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
-    return one.union(docs.filter("doc_id IS NULL"))
+    made = F.when(F.col("text").rlike(words.WORD), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    kept = near_dup.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), size=5, percent=80).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    named = rows.join(kept, "_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).filter("_n = 1")
+    return named.select(docs.columns).union(rows.filter("_id IS NULL").select(docs.columns))
 
 
 @_stage
