@@ -1,11 +1,12 @@
 """Row numbers and running sums over a whole table without one task for all rows.
 
-Rows fall into bins by the first order key: bounds are its quantiles, so bins hold
-about as many rows each and follow one another in the order.  Numbers and sums are
+Rows fall into bins by the first order key: bounds are its quantiles, of a sample where
+the key is no number or time, so bins hold about as many rows each and follow one
+another in the order.  Without an order, bins are the partitions as they come.  Numbers and sums are
 made within bins, and what the bins before hold is added: one row a bin, at most
 ``MOST + 2`` of them, so that side is broadcast.
 
-The bounds are one row of at most ``MOST`` numbers, fetched when the plan is made.
+The bounds are at most ``MOST`` values, from at most some ``MOST * PER_BOUND`` sampled ones, fetched when the plan is made.
 Rows of equal first key share a bin; one value that fills the table fills a bin.
 """
 
@@ -24,6 +25,7 @@ MOST = 1024
 #: Tables that Spark estimates below this are numbered by one task, which is quicker for them.
 LARGE = 256 << 20
 BIN = "_millrace_bin"
+PER_BOUND = 20
 
 
 def is_large(df: DataFrame) -> bool:
@@ -36,19 +38,57 @@ def _number(df: DataFrame, key: Column) -> Column | None:
     kind = df.select(key.alias("k")).schema["k"].dataType
     if isinstance(kind, T.NumericType):
         return key.cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_date(key.cast("date")).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(key).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
+        days = F.unix_date(key.cast("date")).cast("double") * F.lit(86400.0)
+        if isinstance(kind, T.DateType):
+            return days
+        return days + F.hour(key) * F.lit(3600) + F.minute(key) * F.lit(60) + F.extract(F.lit("SECOND"), key).cast("double")
     return None
 
 
+def _sampled(df: DataFrame, key: Column, parts: int) -> list:
+    """Bounds of about equal parts for a key of any type that sorts."""
+    keys = df.select(key.alias("k")).filter("k IS NOT NULL")
+    n = keys.count()
+    if not n:
+        return []
+    found = sorted(r["k"] for r in keys.sample(min(1.0, PER_BOUND * parts / n), seed=1).collect())
+    return [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+
+
+def by_partition(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """``df`` with each of ``sums`` as its sum up to the row, in the order in which rows come.
+
+    ``df`` is read twice; should its partitions differ between the two, it raises.
+    """
+    part, place = "_millrace_part", "_millrace_place"
+    # The id has the partition in its upper bits and the place in its lower 33.
+    step = df.withColumn(place, F.monotonically_increasing_id()).withColumn(part, F.shiftright(place, 33))
+    each = step.groupBy(part).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(F.col(part).alias("_millrace_p"), *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums])
+    within = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = step.withColumns({n: F.sum(c).over(within) for n, c in sums.items()}).join(each, F.col(part) == F.col("_millrace_p"), "left")
+    found = F.when(F.col("_millrace_p").isNull(), F.raise_error(F.lit("partitions changed between two reads"))).otherwise(F.lit(0))
+    return joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") + found for n in sums}).drop(part, place, "_millrace_p", *[f"_before_{n}" for n in sums])
+
+
 def binned(df: DataFrame, order: Sequence) -> DataFrame | None:
-    """``df`` with ``BIN``, an integer that rises with the order; None if the first key has no bins."""
+    """``df`` with ``BIN``, an integer that rises with the order; None if there is no order, or its first key is nested."""
     rules = ordering.rules(order)
-    x = _number(df, F.expr(rules[0].expression)) if rules else None
-    if x is None:
+    if not rules:
         return None
+    key = F.expr(rules[0].expression)
+    x = _number(df, key)
     parts = min(MOST, max(8, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = df.select(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"] or []
+    if x is None:
+        if not isinstance(df.select(key.alias("k")).schema["k"].dataType, (T.StringType, T.BinaryType, T.BooleanType)):
+            return None
+        x, bounds = key, _sampled(df, key, parts)
+    else:
+        bounds = df.select(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"] or []
     edges = sorted({b for b in bounds if b == b})
     place = F.size(F.filter(F.array(*[F.lit(b) for b in edges]), lambda b: b < x)) if edges else F.lit(0)
     rises, nulls_first = rules[0].sort.startswith("asc"), rules[0].sort in ("asc", "desc_nulls_first")

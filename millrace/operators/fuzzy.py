@@ -30,7 +30,9 @@ class FuzzyMatch(Operator):
     passes the input through.  Every pair is made once (all comparisons are
     symmetric), and fields are compared side by side, not stacked.  ``block_on`` is
     an extension: only records equal in that expression are compared, which makes
-    the pairing an equality join.  ``exact`` scores mirrored strings.
+    the pairing an equality join.  ``exact`` scores mirrored strings.  Where record ids
+    do not repeat, pairs are scored and filtered where they are made and never shuffled;
+    rows that share an id are averaged.
     """
 
     record_id: str
@@ -86,5 +88,9 @@ class FuzzyMatch(Operator):
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(tasks, "block", "id") if self.block_on else rows.repartition(tasks, "id")
         pairs = dealt.alias("a").join(rows.alias("b"), on).select(F.col("a.id").alias("record_id1"), F.col("b.id").alias("record_id2"), total.alias("t"), count.alias("n"))
+        if rows.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty():
+            # Each pair is one row: scored and dropped where it is made, so only matches go further.
+            own = pairs.select("record_id1", "record_id2", F.round(F.try_divide("t", "n"), 2).alias("similarity_score")).filter(F.col("similarity_score") >= self.threshold)
+            return own if self.with_score else own.drop("similarity_score")
         out = pairs.groupBy("record_id1", "record_id2").agg(F.round(F.try_divide(F.sum("t"), F.sum("n")), 2).alias("similarity_score")).filter(F.col("similarity_score") >= self.threshold)
         return out if self.with_score else out.drop("similarity_score")

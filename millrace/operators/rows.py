@@ -54,7 +54,8 @@ class RunningTotal(Operator):
     def apply(self, df: DataFrame) -> DataFrame:
         own = names.resolve_all(df, self.columns)
         if not self.group_by and spreads(df, self.spread):
-            made = prefix.running(df, self.order_by, {f"_millrace_t{i}": F.coalesce(names.col(c), F.lit(0)) for i, c in enumerate(own)})
+            sums = {f"_millrace_t{i}": F.coalesce(names.col(c), F.lit(0)) for i, c in enumerate(own)}
+            made = prefix.running(df, self.order_by, sums) if self.order_by else prefix.by_partition(df, sums)
             if made is not None:
                 return made.select(*[names.col(c) for c in df.columns], *[F.col(f"_millrace_t{i}").alias(f"{self.prefix}{c}") for i, c in enumerate(own)])
         w = windowed(df, self.group_by, self.order_by, F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -73,8 +74,10 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     counts = step.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(part).alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = step.join(offsets, F.col(part) == F.col("_p"))
-    return joined.select(*[names.col(c) for c in df.columns], (F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).alias(name))
+    # The input is read twice; should its partitions differ between the two, it raises.
+    joined = step.join(offsets, F.col(part) == F.col("_p"), "left")
+    found = F.when(F.col("_p").isNull(), F.raise_error(F.lit("partitions changed between two reads"))).otherwise(F.lit(0))
+    return joined.select(*[names.col(c) for c in df.columns], (F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1 + found).alias(name))
 
 
 @dataclass(frozen=True)
@@ -168,16 +171,23 @@ class FindDuplicates(Operator):
         if every and self.output == "unique":
             return df.dropDuplicates()
         keys = df.columns if every else self.columns
-        w = windowed(df, keys, () if every else self.order_by)
         if self.output == "custom_group_count":
-            w = Window.partitionBy(*[names.col(c) for c in names.resolve_all(df, keys)])
-            value = F.count(F.lit(1)).over(w)
-        else:
-            value = F.row_number().over(w)
+            return self._by_count(df, names.resolve_all(df, keys))
+        value = F.row_number().over(windowed(df, keys, () if every else self.order_by))
         x = F.col("_millrace_n")
         keep = {"unique": lambda: x == 1, "duplicate": lambda: x > 1}.get(self.output, lambda: self._holds(x))()
         return df.withColumn("_millrace_n", value).filter(keep).drop("_millrace_n")
 
+    def _by_count(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """Counts combine map-side, and only the keys of the groups that are kept meet the rows again."""
+        own = {c: f"_millrace_k{i}" for i, c in enumerate(keys)}
+        counts = df.groupBy(*[names.col(c).alias(k) for c, k in own.items()]).agg(F.count(F.lit(1)).alias("_millrace_n"))
+        kept = counts.filter(self._holds(F.col("_millrace_n"))).drop("_millrace_n")
+        on = F.lit(True)
+        for c, k in own.items():
+            on = on & names.col(c).eqNullSafe(F.col(k))
+        return df.join(kept, on, "left_semi")
+
 
 @dataclass(frozen=True)
 class Sample(Operator):
@@ -214,7 +224,10 @@ class Sample(Operator):
             return df.orderBy(*order).limit(int(self.n)) if order else df.limit(int(self.n))
         by = Window.partitionBy(*[names.col(c) for c in groups])
         rn, rows = F.col("_millrace_rn"), F.col("_millrace_rows")
-        if not groups and not self.mode.startswith("random"):
+        if not groups and self.mode == "randomNPercent":
+            every = [f"cast({names.quoted(c)} AS string)" for c in df.columns]
+            step = placed(df.withColumn("_millrace_draw", draw), ["_millrace_draw", *every], "_millrace_rn", self.spread).drop("_millrace_draw")
+        elif not groups:
             step = placed(df, self.order_by, "_millrace_rn", self.spread) if order else numbered(df, "_millrace_rn")
         else:
             step = df.withColumn("_millrace_rn", F.row_number().over(by.orderBy(*(order or [names.col(c) for c in groups] or [F.lit(1)]))))

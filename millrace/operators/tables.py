@@ -29,7 +29,8 @@ class TableOperations:
     ``fsckRepairTable`` raise :class:`UnsupportedOperation` there.
 
     ``optimiseTable`` with ``zorder`` columns orders plain files by ranges of them.
-    ``runDDL`` runs ``ddl`` with ``{table_name}`` put as the table.
+    ``runDDL`` runs ``ddl`` with ``{table_name}`` put as the table.  An empty action
+    does nothing; its row says so, with the status ``Failed``.
     """
 
     table: str
@@ -54,7 +55,7 @@ class TableOperations:
 
     def problems(self) -> list[str]:
         out = [] if self.table else ["table is required"]
-        if self.action not in ACTIONS:
+        if self.action and self.action not in ACTIONS:
             out.append(f"unknown action {self.action!r}")
         wants = {"registerTableInCatalog": ("path",), "deleteFromTable": ("delete_condition",), "updateTable": ("update_set",), "runDDL": ("ddl",), "restoreTable": ("restore_value",)}
         out += [f"{name} is required" for name in wants.get(self.action, ()) if not getattr(self, name)]
@@ -86,8 +87,10 @@ class TableOperations:
             "dropTable": lambda: spark.sql(f"DROP TABLE {self.target}"),
             "fsckRepairTable": lambda: self._native(spark, f"FSCK REPAIR TABLE {self.target}"),
             "runDDL": lambda: spark.sql(self.ddl.replace("{table_name}", self.target)),
+            "": lambda: None,
         }[self.action]()
-        done = F.lit(self.action).alias("operation"), F.lit(self.target).alias("target_table"), F.lit("Success").alias("status"), F.current_timestamp().alias("executed_at")
+        said = (self.action, "Success") if self.action else ("No Action", "Failed")
+        done = F.lit(said[0]).alias("operation"), F.lit(self.target).alias("target_table"), F.lit(said[1]).alias("status"), F.current_timestamp().alias("executed_at")
         return spark.range(1).select(*done)
 
     @staticmethod

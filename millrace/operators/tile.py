@@ -121,8 +121,11 @@ class Tile(Operator):
 
     def _smart(self, df: DataFrame, by: list[Column]) -> DataFrame:
         x = names.col(names.resolve(df, self.column)).cast("double")
-        group = Window.partitionBy(*by)
-        step = df.withColumn("_millrace_m", F.avg(x).over(group)).withColumn("_millrace_s", F.stddev_samp(x).over(group))
+        if by:
+            group = Window.partitionBy(*by)
+            step = df.withColumn("_millrace_m", F.avg(x).over(group)).withColumn("_millrace_s", F.stddev_samp(x).over(group))
+        else:
+            step = df.crossJoin(F.broadcast(df.agg(F.avg(x).alias("_millrace_m"), F.stddev_samp(x).alias("_millrace_s"))))  # one row
         # A group of one row has no deviation, and so a null tile.
         k = F.when(F.col("_millrace_s") == 0, F.lit(0)).otherwise(F.floor(F.try_divide(x - F.col("_millrace_m"), F.col("_millrace_s")) + F.lit(0.5)).cast("int"))
         step = step.withColumn("Tile_Num", k)
