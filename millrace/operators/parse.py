@@ -27,12 +27,45 @@ class RegexGroup:
     type: str = "string"
 
 
+_PARTS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?:\?(?:P?<(?![=!])(\w+)>)?)?|\)", re.S)
+_NUMBER = re.compile(r"(?:\\d|\[0-9\])(?:[+*?]|\{\d+(?:,\d*)?\})?")
+
+
+def detected_groups(pattern: str, root: str = "regex_col") -> list[RegexGroup]:
+    """The capturing groups of a pattern in order of their opening: by their own names, else ``<root><number>``."""
+    found: list[list] = []
+    opened: list[list | None] = []
+    for m in _PARTS.finditer(pattern):
+        if m[0] == "(" or m[1]:
+            found.append([m[1] or f"{root}{len(found) + 1}", m.end(), len(pattern)])
+            opened.append(found[-1])
+        elif m[0].startswith("("):
+            opened.append(None)
+        elif m[0] == ")" and opened and (group := opened.pop()):
+            group[2] = m.start()
+    return [RegexGroup(name, guessed_type(pattern[a:b])) for name, a, b in found]
+
+
+def guessed_type(body: str) -> str:
+    """The type of what a group's pattern can match: int, double, date or boolean where it is plain, else string."""
+    if sorted(body.lower().split("|")) in (["false", "true"], ["no", "yes"], ["n", "y"]):
+        return "boolean"
+    # Each run of digits as one mark; what is left between them tells the rest.
+    shape = _NUMBER.sub("9", body).replace("\\-", "-").removeprefix("-?").removeprefix("[+-]?")
+    if re.fullmatch("9+", shape):
+        return "int"
+    if re.fullmatch(r"9+(?:\\\.|\[\.\])9+|9+\(\?:(?:\\\.|\[\.\])9+\)\?", shape):
+        return "double"
+    return "date" if re.fullmatch(r"(?:\\d|\[0-9\])\{4\}-(?:\\d|\[0-9\])\{2\}-(?:\\d|\[0-9\])\{2\}", body) else "string"
+
+
 @dataclass(frozen=True)
 class Regex(Operator):
     """Replaces, parses, tokenizes or matches by a pattern.
 
     replace: all columns and ``<column><suffix>``.  parse: a column a group,
-    '' as null, cast where possible.  tokenize: matches (group 1 if the pattern
+    '' as null, cast where possible; without ``groups`` those of the pattern, their
+    types guessed.  tokenize: matches (group 1 if the pattern
     has one) to ``<root>1..n`` (splitColumns), to rows with ``token_position``
     (splitRows), or the groups of the first match (any other ``tokenize_output``).
     ``extra`` with more matches than columns: dropExtraWithoutWarning,
@@ -61,7 +94,7 @@ class Regex(Operator):
         if self.output not in ("replace", "parse", "tokenize", "match"):
             out.append(f"unknown output {self.output!r}")
         if self.output == "parse":
-            out += needed(self.groups, "at least one group")
+            out += needed(self.groups or has_group(self.pattern or ""), "at least one group")
         if self.output == "tokenize" and self.n < 1:
             out.append("n must be at least 1")
         return out
@@ -73,7 +106,7 @@ class Regex(Operator):
         if self.output == "replace":
             return df.select("*", F.regexp_replace(c, p, self.replacement).alias(name + self.suffix))
         if self.output == "parse":
-            return df.select("*", *[self._blank(F.regexp_extract(c, p, i)).try_cast(g.type).alias(g.name) for i, g in enumerate(self.groups, 1)])
+            return df.select("*", *[self._blank(F.regexp_extract(c, p, i)).try_cast(g.type).alias(g.name) for i, g in enumerate(self.groups or detected_groups(self.pattern, self.root), 1)])
         if self.output == "match":
             step = df.filter(c.rlike(p)) if self.only_matches else df
             return step.select("*", F.when(c.rlike(p), F.lit(1)).otherwise(F.lit(0)).alias(self.match_column))

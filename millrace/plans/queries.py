@@ -6,6 +6,7 @@ different orders.  Where rows tie, the order rules go on to columns that decide.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,10 @@ from ..operators import (
     RegexGroup,
     RunningTotal,
     Sample,
+    TableOperations,
     TextToColumns,
     Tile,
+    ToDo,
     Transpose,
     UnionByName,
     WeightedAverage,
@@ -620,3 +623,194 @@ def _(spark, d):
 @query("generate_rows_dates", "SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-04-09', INTERVAL 1 DAY)) AS DATE) AS day")
 def _(spark, d):
     return GenerateRows("2024-01-01", "day < date '2025-01-01'", "date_add(day, 1)", "day")(spark)
+
+
+# --- tables and what is yet to be written ---------------------------------------------------------------------------------
+
+
+def _after(spark: SparkSession, d: str, *steps: TableOperations, say: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """``say`` of a copy of the orders after ``steps``, each made for that copy's name; its few rows outlive the copy."""
+    name = f"millrace_{uuid.uuid4().hex}"
+    load(spark, d, "orders").write.saveAsTable(name)
+    try:
+        for step in steps:
+            step(name)(spark)
+        found = say(spark, name)
+        return spark.createDataFrame(found.collect(), found.schema)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _by_status(spark: SparkSession, name: str) -> DataFrame:
+    return spark.table(name).groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+_BY_STATUS = "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {} GROUP BY 1, 2"
+
+
+@query("table_delete", _BY_STATUS.format("orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 1000)"))
+def _(spark, d):
+    return _after(spark, d, lambda t: TableOperations(t, "deleteFromTable", delete_condition="o_orderstatus = 'F' AND o_totalprice > 1000"), say=_by_status)
+
+
+@query("table_update", _BY_STATUS.format("(SELECT o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN concat(o_orderpriority, ', seen') ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders)"))
+def _(spark, d):
+    return _after(spark, d, lambda t: TableOperations(t, "updateTable", update_set="o_orderpriority = concat(o_orderpriority, ', seen'), o_totalprice = o_totalprice + 1", update_condition="o_orderkey % 3 = 0"), say=_by_status)
+
+
+@query("table_optimise", _BY_STATUS.format("orders"))
+def _(spark, d):
+    return _after(spark, d, lambda t: TableOperations(t, "optimiseTable", zorder=["o_custkey", "o_orderkey"]), say=_by_status)
+
+
+@query("table_run_ddl", "SELECT count(*) AS n, count(*) - count(NULL) AS without FROM orders")
+def _(spark, d):
+    return _after(spark, d, lambda t: TableOperations(t, "runDDL", ddl="ALTER TABLE {table_name} ADD COLUMNS (note string)"), say=lambda s, t: s.table(t).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("note").isNull(), 1)).alias("without")))
+
+
+@query("table_register", "SELECT count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders")
+def _(spark, d):
+    name = f"millrace_{uuid.uuid4().hex}"
+    TableOperations(name, "registerTableInCatalog", path=f"{d.rstrip('/')}/orders.parquet")(spark)
+    try:
+        found = spark.table(name).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+        return spark.createDataFrame(found.collect(), found.schema)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+@query("table_drop", "SELECT 'dropTable' AS operation, 'Success' AS status, false AS there")
+def _(spark, d):
+    def drop(spark: SparkSession, name: str) -> DataFrame:
+        said = TableOperations(name, "dropTable")(spark)
+        return said.select("operation", "status", F.lit(spark.catalog.tableExists(name)).alias("there"))
+
+    return _after(spark, d, say=drop)
+
+
+@query("table_no_action", "SELECT 'No Action' AS operation, '`orders`' AS target_table, 'Failed' AS status")
+def _(spark, d):
+    return TableOperations("orders", "")(spark).drop("executed_at")
+
+
+@query("todo", "SELECT 'ToDo: rank the regions' AS message, true AS raised")
+def _(spark, d):
+    message = ""
+    try:
+        load(spark, d, "region").transform(ToDo("rank the regions")).collect()
+    except Exception as e:  # what the operator is for
+        message = str(e)
+    wanted = "ToDo: rank the regions"
+    return spark.createDataFrame([(wanted, wanted in message)], "message string, raised boolean")
+
+
+# --- modes that draw or hash, by what holds of them --------------------------------------------------------------------
+
+
+@query("sample_random_holds", "SELECT 500 AS n, 500 AS ids, 500 AS known")
+def _(spark, d):
+    orders = load(spark, d, "orders")
+    found = orders.transform(Sample("randomN", 500))
+    return found.join(orders.select(F.col("o_orderkey").alias("k")), F.col("k") == F.col("o_orderkey"), "left").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("ids"), F.count("k").alias("known")).select(*[F.col(c).cast("int").alias(c) for c in ("n", "ids", "known")])
+
+
+@query("sample_random_percent", "SELECT CAST(ceil(count(*) * 10 / 100.0) AS BIGINT) AS n, CAST(ceil(count(*) * 10 / 100.0) AS BIGINT) AS ids FROM orders")
+def _(spark, d):
+    return load(spark, d, "orders").transform(Sample("randomNPercent", 10, spread=True)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("ids"))
+
+
+@query("record_id_uuid_holds", "SELECT count(*) AS n, count(*) AS ids, count(*) AS formed FROM orders")
+def _(spark, d):
+    ids = load(spark, d, "orders").transform(RecordID("uuid"))
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("RecordID").alias("ids"), F.count(F.when(F.col("RecordID").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), 1)).alias("formed"))
+
+
+@query("masking_hash_holds", "SELECT count(DISTINCT c_name) AS names, count(DISTINCT c_name) AS hashes, count(DISTINCT c_name) AS pairs FROM customer")
+def _(spark, d):
+    step = load(spark, d, "customer").select("c_name", F.col("c_name").alias("masked")).transform(DataMasking(["masked"], "hash"))
+    return step.agg(F.countDistinct("c_name").alias("names"), F.countDistinct("masked").alias("hashes"), F.countDistinct("c_name", "masked").alias("pairs"))
+
+
+# --- modes not met above ------------------------------------------------------------------------------------------------
+
+
+@query("record_id_string", "SELECT lpad(CAST(row_number() OVER (ORDER BY o_orderkey) + 6 AS VARCHAR), 8, '0') AS \"RecordID\", o_orderkey FROM orders")
+def _(spark, d):
+    return load(spark, d, "orders").select("o_orderkey").transform(RecordID(type="string", size=8, start=7, order_by=["o_orderkey"]))
+
+
+@query("find_duplicates_row_number_equal", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 3")
+def _(spark, d):
+    return load(spark, d, "orders").transform(FindDuplicates(["o_custkey"], "custom_row_number", "selectedCols", "equal_to", 3, order_by=["o_orderkey"])).select("o_orderkey")
+
+
+@query("find_duplicates_row_number_greater", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n > 9")
+def _(spark, d):
+    return load(spark, d, "orders").transform(FindDuplicates(["o_custkey"], "custom_row_number", "selectedCols", "greater_than", 9, order_by=["o_orderkey"])).select("o_orderkey")
+
+
+for _name, _condition, _values, _where in (("less", "less_than", {"n": 8}, "n < 8"), ("not_equal", "not_equal_to", {"n": 10}, "n != 10"), ("between", "between", {"lower": 9, "upper": 11}, "n BETWEEN 9 AND 11")):
+    query(f"find_duplicates_count_{_name}", _by_count(_where))(lambda spark, d, c=_condition, v=_values: load(spark, d, "orders").transform(FindDuplicates(["o_custkey"], "custom_group_count", "selectedCols", c, **v)))
+
+
+@query("running_total_unordered", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS last, count(DISTINCT o_orderkey) AS steps FROM orders")
+def _(spark, d):
+    """Totals in the order in which rows come: as many as rows, rising, the last the sum of all."""
+    out = load(spark, d, "orders").select("o_orderkey").transform(RunningTotal(["o_orderkey"], spread=True))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.max("RunTot_o_orderkey").alias("last"), F.countDistinct("RunTot_o_orderkey").alias("steps"))
+
+
+@query("running_total_text_key", "SELECT c_custkey, round(sum(c_acctbal) OVER (ORDER BY c_name ROWS UNBOUNDED PRECEDING), 2) AS \"RunTot_c_acctbal\" FROM customer")
+def _(spark, d):
+    out = load(spark, d, "customer").transform(RunningTotal(["c_acctbal"], order_by=["c_name"], spread=True))
+    return _rounded(out.select("c_custkey", "RunTot_c_acctbal"), 2, "RunTot_c_acctbal")
+
+
+@query("running_total_time_key", "SELECT event_id, count(*) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS \"RunTot_one\" FROM events")
+def _(spark, d):
+    out = load(spark, d, "events").select("event_id", "ts", F.lit(1).alias("one")).transform(RunningTotal(["one"], order_by=["ts", "event_id"], spread=True))
+    return out.select("event_id", "RunTot_one")
+
+
+@query("tile_smart_table", "WITH s AS (SELECT o_orderkey, o_totalprice AS x, avg(o_totalprice) OVER () AS m, stddev_samp(o_totalprice) OVER () AS s FROM orders) SELECT o_orderkey, CAST(floor((x - m) / s + 0.5) AS BIGINT) AS \"Tile_Num\" FROM s")
+def _(spark, d):
+    return _long(load(spark, d, "orders").transform(Tile("smart_tile", "o_totalprice")).select("o_orderkey", "Tile_Num"), "Tile_Num")
+
+
+@query("dynamic_select_none", "SELECT CAST(NULL AS VARCHAR) AS no_columns_matched FROM region")
+def _(spark, d):
+    return load(spark, d, "region").transform(DynamicSelect(["Date"]))
+
+
+@query("regex_first_groups", "SELECT p_partkey, nullif(regexp_extract(p_type, '([A-Z])([A-Z]+)', 1), '') AS w1, nullif(regexp_extract(p_type, '([A-Z])([A-Z]+)', 2), '') AS w2 FROM part")
+def _(spark, d):
+    return load(spark, d, "part").select("p_partkey", "p_type").transform(Regex("p_type", "([A-Z])([A-Z]+)", "tokenize", ignore_case=False, tokenize_output="firstGroups", n=2, root="w")).drop("p_type")
+
+
+@query("regex_detected_groups", "SELECT page_id, nullif(regexp_extract(url, 'https?://([^/]+)/([a-z]+)/([0-9]+)', 1), '') AS host, TRY_CAST(regexp_extract(url, 'https?://([^/]+)/([a-z]+)/([0-9]+)', 3) AS INTEGER) AS regex_col3 FROM pages")
+def _(spark, d):
+    return load(spark, d, "pages").select("page_id", "url").transform(Regex("url", "https?://(?<host>[^/]+)/([a-z]+)/([0-9]+)", "parse", ignore_case=False)).drop("url", "regex_col2")
+
+
+@query("xml_parse_schema", "SELECT c_custkey, c_custkey AS k, c_mktsegment AS s FROM customer")
+def _(spark, d):
+    made = F.concat(F.lit("<c><k>"), F.col("c_custkey").cast("string"), F.lit("</k><s>"), F.col("c_mktsegment"), F.lit("</s></c>"))
+    return load(spark, d, "customer").select("c_custkey", made.alias("x")).transform(XMLParse("x", "parseFromSchema", schema="k bigint, s string")).select("c_custkey", F.col("x_parsed.k").alias("k"), F.col("x_parsed.s").alias("s"))
+
+
+_PAIRS = "SELECT greatest(a.id, b.id) AS record_id1, least(a.id, b.id) AS record_id2, 100.0::DOUBLE AS similarity_score FROM (SELECT CAST(s_suppkey AS VARCHAR) AS id, {0} AS v FROM supplier) a JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS id, {0} AS v FROM supplier) b ON a.id > b.id AND {1}"
+
+
+@query("fuzzy_match_equals", _PAIRS.format("CAST(s_nationkey AS VARCHAR)", "a.v = b.v"))
+def _(spark, d):
+    return load(spark, d, "supplier").transform(FuzzyMatch("s_suppkey", [MatchField("s_nationkey", "equals")], threshold=100, with_score=True))
+
+
+@query("fuzzy_match_phone", _PAIRS.format("substr(s_name, length(s_name), 1)", "a.v = b.v"))
+def _(spark, d):
+    return load(spark, d, "supplier").select("s_suppkey", F.expr("right(s_name, 1)").alias("p")).transform(FuzzyMatch("s_suppkey", [MatchField("p", "phone")], threshold=100, with_score=True))
+
+
+@query("fuzzy_match_exact", _PAIRS.format("right(s_name, 2)", "a.v = reverse(b.v)"))
+def _(spark, d):
+    return load(spark, d, "supplier").select("s_suppkey", F.expr("right(s_name, 2)").alias("p")).transform(FuzzyMatch("s_suppkey", [MatchField("p", "exact")], threshold=100, with_score=True))

@@ -319,6 +319,56 @@ def test_generated_rows(spark):
         GenerateRows("1", "", "value + 1")(spark)
 
 
+@pytest.mark.parametrize("made", [
+    lambda df: RunningTotal(["v"], spread=True)(df),
+    lambda df: RunningTotal(["v"], order_by=["s"], spread=True)(df),
+    lambda df: RunningTotal(["v"], order_by=["t", "v"], spread=True)(df),
+    lambda df: Sample("randomNPercent", 20, spread=True)(df),
+    lambda df: Tile("smart_tile", "v")(df),
+])
+def test_no_task_has_all_rows(spark, made):
+    """Only counts and sums of bins meet in one task: its exchanges follow an aggregate."""
+    df = spark.range(5000).select(F.col("id").alias("v"), F.md5(F.col("id").cast("string")).alias("s"), F.expr("timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id % 977)").alias("t"))
+    out = made(df)
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    for below in physical.split("Exchange SinglePartition")[1:]:
+        assert "HashAggregate" in "".join(below.split("\n")[1:3]), below[:300]
+    assert out.count() in (1000, 5000)
+
+
+def test_totals_by_text_and_time(spark):
+    df = spark.range(5000).select(F.col("id").alias("v"), F.md5(F.col("id").cast("string")).alias("s"), F.expr("cast(timestamp'2024-01-01' + make_interval(0,0,0,0,0,0,id % 977 / 1000) AS timestamp_ntz)").alias("t"))
+    for order in (["s"], [("s", "desc"), "v"], ["t", "v"], [("t", "desc"), "v"]):
+        whole, spread = (sorted(map(tuple, RunningTotal(["v"], order_by=order, spread=x)(df).collect())) for x in (False, True))
+        assert whole == spread
+
+
+def test_detected_groups():
+    from millrace.operators.parse import detected_groups
+
+    found = {g.name: g.type for g in detected_groups(r"(?<day>\d{4}-\d{2}-\d{2}) (\d+) (?:x|y) ([0-9]+\.[0-9]{2}) (true|false) [(] \( (a(b))")}
+    assert found == {"day": "date", "regex_col2": "int", "regex_col3": "double", "regex_col4": "boolean", "regex_col5": "string", "regex_col6": "string"}
+
+
+def test_relations(spark, tmp_path):
+    from millrace.sources import relation, save
+
+    name = f"t{uuid.uuid4().hex[:8]}"
+    save(spark.range(3).withColumn("g", F.col("id") % 2), name, partition_by=["g"])
+    try:
+        assert relation(spark, name).count() == 3 and relation(spark, [name, name]).count() == 9 and relation(spark, []).count() == 1
+        save(spark.range(2).withColumn("g", F.lit(0).cast("long")), name, mode="append", partition_by=["g"])
+        assert relation(spark, name).count() == 5
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_fuzzy_repeated_ids(spark):
+    """Rows that share an id are averaged over their pairs."""
+    df = spark.createDataFrame([("1", "abcd"), ("1", "abxx"), ("2", "abcd"), ("3", None)], "rid string, v string")
+    assert got(FuzzyMatch("rid", [MatchField("v")], threshold=0, with_score=True)(df)) == [("2", "1", 75.0)]
+
+
 def test_assertion_and_todo(spark):
     df = spark.createDataFrame([(1,), (None,), (-1,)], "x int")
     assert got(AssertExpression("> 0", "x")(df)) == [(-1,), (None,)]
