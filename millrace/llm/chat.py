@@ -11,7 +11,8 @@ then stream through: one turn at a time is in memory, however long a conversatio
 is.  Reading back streams the segments the same way.
 
 Defined results: null text counts as empty; a null role is the role ``""``; a null
-turn comes first; rows of equal turn go by role, then text; a null conversation id
+turn comes first; a conversation out of order is kept and marked, not left out, so that
+the caller decides; rows of equal turn go by role, then text; a null conversation id
 is a conversation of its own; empty tables give empty tables.
 """
 

@@ -25,6 +25,7 @@ columns are not looked at.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import struct
 import zlib
@@ -47,6 +48,7 @@ RATE = 0.2
 NEAR = 0.03
 GAP = 0.001
 CACHE = 400_000
+PROBE = 97
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -60,8 +62,10 @@ class Encoder:
     """Text to ids as little-endian 32-bit numbers, with a bounded memory of words.
 
     A space with no white space beside it starts a new word for the vocabulary's
-    pattern, so such words are encoded alone and remembered.  Where the package
-    has the same vocabulary as ranks, new words go through those.
+    pattern, so such words are encoded alone and remembered.  That holds for byte-level
+    vocabularies without a normaliser; texts of any other are encoded whole.  Where the
+    package has the same vocabulary as ranks, new words go through those, once they have given the
+    same ids as the vocabulary file for every ``PROBE``-th of its entries.
     """
 
     def __init__(self, path: str) -> None:
@@ -70,7 +74,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.ids_of = self._ranked(path) or (lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids)
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        before = spec.get("pre_tokenizer") or {}
+        self.by_words = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+        own = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        ranked = self._ranked(path)
+        probes = [self.tokenizer.decode([i], skip_special_tokens=True) for i in range(0, self.tokenizer.get_vocab_size(), PROBE)]
+        self.ids_of = ranked if ranked and all(ranked(p) == own(p) for p in probes) else own
 
     @staticmethod
     def _ranked(path: str):
@@ -97,7 +107,7 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or _EXOTIC.search(text):
+        if not self.by_words or any(s in text for s in self.special) or _EXOTIC.search(text):
             return self.whole(text)
         if _UNSAFE.search(text):
             return b"".join(map(self.word, _SAFE_CUT.split(text)))

@@ -39,6 +39,7 @@ _IBAN = re.compile(r"[\s:#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-
 _ACCOUNT = re.compile(r"(?: (?:number|no\.?|nr\.?))?[\s:#=]{1,3}([0-9][0-9-]{6,18}[0-9])(?![0-9])", re.I)
 _SSN = re.compile(r"(?: (?i:number|no\.?|nr\.?))?[\s:#=]{0,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
 _STREET = re.compile(r"[\s:]{1,3}([0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd))\b")
+_STRASSE = re.compile(r"[\s:]{1,3}((?:[A-ZÄÖÜ][a-zäöüß]*[ -])?[A-ZÄÖÜ]?[a-zäöüß]*(?:[Ss]traße|[Ss]trasse|[Ss]tr\.|[Ww]eg|[Pp]latz|[Aa]llee|[Gg]asse) [0-9]{1,4}[a-z]?)\b")
 
 _CUES = {"@": "at", "://": "scheme", "+": "plus", "iban": "iban", "account": "account", "acct": "account", "konto": "account", "ssn": "ssn", "social security": "ssn", "address": "street", "adresse": "street"}
 _automata: list[ahocorasick.Automaton] = []
@@ -108,7 +109,7 @@ def find(text: str) -> list[Span]:
         elif kind == "ssn":
             if m := _SSN.match(text, after):
                 out["ssn"].append(("ssn", m.start(1), m.end(1)))
-        elif m := _STREET.match(text, after):
+        elif m := _STREET.match(text, after) or _STRASSE.match(text, after):
             out["street"].append(("street", m.start(1), m.end(1)))
     out["ip"] = [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
     out["card"] = [("card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]

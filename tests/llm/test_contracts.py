@@ -236,6 +236,31 @@ def test_packing_configurations():
     assert made.by_configurations > 0.9 and made.sequences <= bound * 1.001 + 1
 
 
+def test_packing_of_the_table():
+    """Lengths of a whole table: most pieces are placed by configurations, and best fit alone needs no fewer sequences."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    n = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["n_chars"])["n_chars"].to_numpy() // 3 + 1
+    counts = np.bincount(np.concatenate([(n - 1) % 2048 + 1, np.full(int(((n - 1) // 2048).sum()), 2048)]), minlength=2049)
+    made = packing.plan(counts)
+    alone = sum(m for _, m in packing.best_fit(counts, 2048))
+    assert made.by_configurations > 0.8 and made.sequences <= alone, (made.by_configurations, made.sequences, alone)
+    assert made.cover <= made.at_least * 1.001 and made.sequences <= made.at_least * 1.005
+
+
+def test_encoder():
+    """Ids equal the vocabulary file's, whichever way words go; another kind of vocabulary is encoded whole."""
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = packing.tokenizer_path(name)
+        encoder, plain = packing.Encoder(path), Tokenizer.from_file(path)
+        assert encoder.by_words == name.startswith("byte")
+        for text in ("", " ", "Two  words, it's\n\n x\u00a0y 1234 don't", "a b c " * 50, LONG[:5000], "\u6f22\u5b57 \U0001f600 <|endoftext|> <|startoftext|>"):
+            assert list(memoryview(encoder.encode(text)).cast("I")) == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, folder, k, percent):
     from millrace.llm import near_dup
@@ -373,6 +398,32 @@ def test_identifier_cues(cue):
     assert pii.find(text) == [("ssn", len(cue), len(text))]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("see smtp://bob:pw@host", "credential", "bob:pw"),
+        ("IBAN: DE89 3704 0044 0532 0130 00.", "account", "DE89 3704 0044 0532 0130 00"),
+        ("iban=DE89370400440532013000", "account", "DE89370400440532013000"),
+        ("Account No. 1234-5678-90", "account", "1234-5678-90"),
+        ("KONTO: 12345678", "account", "12345678"),
+        ("SSN 123-45-6789", "ssn", "123-45-6789"),
+        ("ADDRESS: 12 Old Mill Road, Anytown", "street", "12 Old Mill Road"),
+        ("Adresse: Hauptstra\u00dfe 12a, Berlin", "street", "Hauptstra\u00dfe 12a"),
+        ("IBAN: DE89 3704 0044 0532 0130 01", None, None),
+        ("SSN 000-45-6789, ssn 666-12-1234, ssn 123-00-1234", None, None),
+        ("account settings 12", None, None),
+        ("address of the house", None, None),
+        ("the scheme http://host/path:1", None, None),
+    ],
+)
+def test_added_kinds(text, kind, value):
+    from millrace.llm import pii
+
+    for before in ("", "\u00e9\U0001f600 " * 7):
+        found = [(k, (before + text)[a:b]) for k, a, b in pii.find(before + text) if k not in pii.BASE]
+        assert found == ([(kind, value)] if kind else [])
+
+
 def test_topk(spark, sf):
     import numpy as np
 
