@@ -65,6 +65,12 @@ class FuzzyMatch(Operator):
         same = (a == F.reverse(b)) & (b == F.reverse(a)) if kind == "EXACT" else a == b
         return F.when(a.isNotNull() & b.isNotNull(), F.when(same, F.lit(100.0)).otherwise(F.lit(0.0)))
 
+    def _has_score(self, i: int, f: MatchField) -> Column:
+        """Whether :meth:`_score` is not null, without its distance: a join's condition would compute that once more."""
+        a, b = F.col(f"a.f{i}"), F.col(f"b.f{i}")
+        both = a.isNotNull() & b.isNotNull()
+        return both & (F.greatest(F.length(a), F.length(b)) > 0) if self._function(f) == "LEVENSHTEIN" else both
+
     def apply(self, df: DataFrame) -> DataFrame:
         if self.mode not in ("PURGE", "MERGE"):
             return df
@@ -83,7 +89,7 @@ class FuzzyMatch(Operator):
             on = on & (F.col("a.block") == F.col("b.block"))
         scores = [self._score(i, f) for i, f in enumerate(self.fields)]
         total = sum((F.coalesce(s, F.lit(0.0)) for s in scores), F.lit(0.0))
-        count = sum((s.isNotNull().cast("int") for s in scores), F.lit(0))
+        count = sum((self._has_score(i, f).cast("int") for i, f in enumerate(self.fields)), F.lit(0))
         # The work is in the pairs, not the rows: a side is dealt out, however small it is.
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(tasks, "block", "id") if self.block_on else rows.repartition(tasks, "id")
