@@ -8,6 +8,9 @@ made within bins, and what the bins before hold is added: one row a bin, at most
 
 The bounds are at most ``MOST`` values, from at most some ``MOST * PER_BOUND`` sampled ones, fetched when the plan is made.
 Rows of equal first key share a bin; one value that fills the table fills a bin.
+
+Within groups the same is done for hot groups only: those of more than ``HOT_ROWS`` rows and
+more than one ``HOT_GROUPS``-th of the table, so there are fewer than ``HOT_GROUPS`` of them.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from . import ordering
+from . import names, ordering
 
 MOST = 1024
 #: Tables that Spark estimates below this are numbered by one task, which is quicker for them.
 LARGE = 256 << 20
 BIN = "_millrace_bin"
 PER_BOUND = 20
+HOT_ROWS, HOT_GROUPS = 1 << 20, 10_000
 
 
 def is_large(df: DataFrame) -> bool:
@@ -75,8 +79,8 @@ def by_partition(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") + found for n in sums}).drop(part, place, "_millrace_p", *[f"_before_{n}" for n in sums])
 
 
-def binned(df: DataFrame, order: Sequence) -> DataFrame | None:
-    """``df`` with ``BIN``, an integer that rises with the order; None if there is no order, or its first key is nested."""
+def bins(df: DataFrame, order: Sequence) -> Column | None:
+    """An integer that rises with the order, bounds being those of ``df``; None if there is no order, or its first key is nested."""
     rules = ordering.rules(order)
     if not rules:
         return None
@@ -93,7 +97,7 @@ def binned(df: DataFrame, order: Sequence) -> DataFrame | None:
     place = F.size(F.filter(F.array(*[F.lit(b) for b in edges]), lambda b: b < x)) if edges else F.lit(0)
     rises, nulls_first = rules[0].sort.startswith("asc"), rules[0].sort in ("asc", "desc_nulls_first")
     null = F.lit(-MOST - 1 if nulls_first else MOST + 1)
-    return df.withColumn(BIN, F.when(x.isNull(), null).otherwise(place if rises else -place).cast("int"))
+    return F.when(x.isNull(), null).otherwise(place if rises else -place).cast("int")
 
 
 def running(df: DataFrame, order: Sequence, sums: dict[str, Column]) -> DataFrame | None:
@@ -101,9 +105,10 @@ def running(df: DataFrame, order: Sequence, sums: dict[str, Column]) -> DataFram
 
     A row number is the sum of ones.  None if the order's first key has no bins.
     """
-    rows = binned(df, order)
-    if rows is None:
+    place = bins(df, order)
+    if place is None:
         return None
+    rows = df.withColumn(BIN, place)
     before = Window.orderBy(BIN).rowsBetween(Window.unboundedPreceding, -1)
     each = rows.groupBy(BIN).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
     each = each.select(F.col(BIN).alias("_millrace_b"), *[F.sum(f"_s_{n}").over(before).alias(f"_before_{n}") for n in sums])
@@ -113,3 +118,41 @@ def running(df: DataFrame, order: Sequence, sums: dict[str, Column]) -> DataFram
     # As for one window, a sum is null only where nothing has been added yet.
     total = {n: F.coalesce(F.col(n) + F.col(f"_before_{n}"), F.col(n), F.col(f"_before_{n}")) for n in sums}
     return joined.withColumns(total).drop(BIN, "_millrace_b", *[f"_before_{n}" for n in sums])
+
+
+def same(left: Sequence[Column], right: Sequence[str]) -> Column:
+    """Whether columns are equal pair by pair, null to null."""
+    on = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        on = on & a.eqNullSafe(F.col(b))
+    return on
+
+
+def within(df: DataFrame, groups: Sequence[str], order: Sequence, sums: dict[str, Column]) -> DataFrame | None:
+    """As ``running``, from the first row of each group of equal ``groups``.
+
+    None if no group is hot or the order's first key has no bins: one window does
+    then.  Groups are counted first, which combines map-side.  Rows of other groups
+    share a bin of their own and are windowed as ever.
+    """
+    keys = [names.col(c) for c in groups]
+    own = [f"_millrace_g{i}" for i in range(len(keys))]
+    least = max(HOT_ROWS, df.count() // HOT_GROUPS)
+    counts = df.groupBy(*[c.alias(g) for c, g in zip(keys, own, strict=True)]).agg(F.count(F.lit(1)).alias("_millrace_n"))
+    hot = counts.filter(F.col("_millrace_n") > least).select(*own, F.lit(True).alias("_millrace_hot"))
+    if hot.isEmpty():
+        return None
+    # No hint on either join: keys may be long, so Spark goes by their sizes.
+    marked = df.join(hot, same(keys, own), "left").drop(*own)
+    place = bins(marked.filter("_millrace_hot"), order)
+    if place is None:
+        return None
+    rows = marked.withColumn(BIN, F.when(F.col("_millrace_hot"), place).otherwise(-MOST - 2))
+    each = rows.filter("_millrace_hot").groupBy(*[c.alias(g) for c, g in zip(keys, own, strict=True)], F.col(BIN).alias("_millrace_b"))
+    before = Window.partitionBy(*own).orderBy("_millrace_b").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]).select(*own, "_millrace_b", *[F.sum(f"_s_{n}").over(before).alias(f"_before_{n}") for n in sums])
+    inside = Window.partitionBy(*keys, BIN).orderBy(*ordering.columns(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
+    joined = local.join(each, same(keys, own) & (F.col(BIN) == F.col("_millrace_b")), "left")
+    total = {n: F.coalesce(F.col(n) + F.col(f"_before_{n}"), F.col(n), F.col(f"_before_{n}")) for n in sums}
+    return joined.withColumns(total).drop(BIN, "_millrace_hot", "_millrace_b", *own, *[f"_before_{n}" for n in sums])

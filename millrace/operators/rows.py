@@ -33,12 +33,18 @@ def placed(df: DataFrame, order: Sequence, name: str, spread: bool | None) -> Da
     return df.withColumn(name, F.row_number().over(windowed(df, (), order))) if made is None else made
 
 
+def placed_in(df: DataFrame, groups: Sequence[str], order: Sequence, name: str, spread: bool | None) -> DataFrame:
+    """``df`` with ``name`` from 1 in ``order`` within each group."""
+    made = prefix.within(df, groups, order, {name: F.lit(1).cast("long")}) if order and spreads(df, spread) else None
+    return df.withColumn(name, F.row_number().over(windowed(df, groups, order))) if made is None else made
+
+
 @dataclass(frozen=True)
 class RunningTotal(Operator):
     """Sums of columns from the first row of the group up to each row; null is 0.
 
     All totals share one window, so one shuffle and one sort.  Totals over a whole
-    large table are made in bins of the first order key (see ``core.prefix``);
+    large table, and over its hot groups, are made in bins of the first order key (see ``core.prefix``);
     ``spread`` sets that, else the table's size decides.
     """
 
@@ -53,9 +59,12 @@ class RunningTotal(Operator):
 
     def apply(self, df: DataFrame) -> DataFrame:
         own = names.resolve_all(df, self.columns)
-        if not self.group_by and spreads(df, self.spread):
+        if (self.order_by or not self.group_by) and spreads(df, self.spread):
             sums = {f"_millrace_t{i}": F.coalesce(names.col(c), F.lit(0)) for i, c in enumerate(own)}
-            made = prefix.running(df, self.order_by, sums) if self.order_by else prefix.by_partition(df, sums)
+            if self.group_by:
+                made = prefix.within(df, names.resolve_all(df, self.group_by), self.order_by, sums)
+            else:
+                made = prefix.running(df, self.order_by, sums) if self.order_by else prefix.by_partition(df, sums)
             if made is not None:
                 return made.select(*[names.col(c) for c in df.columns], *[F.col(f"_millrace_t{i}").alias(f"{self.prefix}{c}") for i, c in enumerate(own)])
         w = windowed(df, self.group_by, self.order_by, F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -86,7 +95,7 @@ class RecordID(Operator):
 
     Numbers start at ``start``; as strings they are padded with zeros to ``size``
     digits, and cut to it when longer.  ``groupLevel`` numbers within groups.  No
-    form of it puts a large table into one task; ``spread`` is as for running totals.
+    ordered or table-level form of it puts a large table into one task; ``spread`` is as for running totals.
     """
 
     method: str = "incremental_id"
@@ -110,7 +119,7 @@ class RecordID(Operator):
             if self.generation != "groupLevel" and not self.order_by:
                 made = numbered(df, "_millrace_n")
             elif self.generation == "groupLevel" and self.group_by:
-                made = df.withColumn("_millrace_n", F.row_number().over(windowed(df, self.group_by, self.order_by)))
+                made = placed_in(df, self.group_by, self.order_by, "_millrace_n", self.spread)
             else:
                 made = placed(df, self.order_by, "_millrace_n", self.spread) if self.order_by else numbered(df, "_millrace_n")
             value = F.col("_millrace_n").cast("long") + F.lit(self.start - 1)
@@ -128,6 +137,8 @@ class FindDuplicates(Operator):
     ``output``: unique (the first of each group), duplicate (all others),
     custom_row_number or custom_group_count, compared by ``condition`` with ``n``
     or with ``lower`` and ``upper``.  ``allCols`` takes all columns as keys.
+    ``spread`` is as for running totals; the first of each group needs none, as
+    Spark keeps one row a group before the shuffle.
     """
 
     columns: Sequence[str] = ()
@@ -138,6 +149,7 @@ class FindDuplicates(Operator):
     lower: int | None = None
     upper: int | None = None
     order_by: Sequence = ()
+    spread: bool | None = None
 
     def problems(self, df: DataFrame) -> list[str]:
         out = ordering.problems(self.order_by)
@@ -173,20 +185,17 @@ class FindDuplicates(Operator):
         keys = df.columns if every else self.columns
         if self.output == "custom_group_count":
             return self._by_count(df, names.resolve_all(df, keys))
-        value = F.row_number().over(windowed(df, keys, () if every else self.order_by))
         x = F.col("_millrace_n")
         keep = {"unique": lambda: x == 1, "duplicate": lambda: x > 1}.get(self.output, lambda: self._holds(x))()
-        return df.withColumn("_millrace_n", value).filter(keep).drop("_millrace_n")
+        made = placed_in(df, keys, () if every else self.order_by, "_millrace_n", False if self.output == "unique" else self.spread)
+        return made.filter(keep).drop("_millrace_n")
 
     def _by_count(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """Counts combine map-side, and only the keys of the groups that are kept meet the rows again."""
         own = {c: f"_millrace_k{i}" for i, c in enumerate(keys)}
         counts = df.groupBy(*[names.col(c).alias(k) for c, k in own.items()]).agg(F.count(F.lit(1)).alias("_millrace_n"))
         kept = counts.filter(self._holds(F.col("_millrace_n"))).drop("_millrace_n")
-        on = F.lit(True)
-        for c, k in own.items():
-            on = on & names.col(c).eqNullSafe(F.col(k))
-        return df.join(kept, on, "left_semi")
+        return df.join(kept, prefix.same([names.col(c) for c in own], list(own.values())), "left_semi")
 
 
 @dataclass(frozen=True)
@@ -219,20 +228,31 @@ class Sample(Operator):
     def apply(self, df: DataFrame) -> DataFrame:
         groups = () if self.level == "sampleDataset" else names.resolve_all(df, self.group_by)
         draw = F.xxhash64(F.lit(self.seed), *[names.col(c).cast("string") for c in df.columns])
-        order = [draw, *[names.col(c).cast("string") for c in df.columns]] if self.mode.startswith("random") else ordering.columns(self.order_by)
+        rules, random = self.order_by, self.mode.startswith("random")
+        if random:
+            df = df.withColumn("_millrace_draw", draw)
+            rules = ["_millrace_draw", *[f"cast({names.quoted(c)} AS string)" for c in df.columns[:-1]]]
+        order = ordering.columns(rules)
         if not groups and self.mode in ("firstN", "randomN"):
-            return df.orderBy(*order).limit(int(self.n)) if order else df.limit(int(self.n))
+            return (df.orderBy(*order) if order else df).limit(int(self.n)).drop("_millrace_draw")
         by = Window.partitionBy(*[names.col(c) for c in groups])
         rn, rows = F.col("_millrace_rn"), F.col("_millrace_rows")
-        if not groups and self.mode == "randomNPercent":
-            every = [f"cast({names.quoted(c)} AS string)" for c in df.columns]
-            step = placed(df.withColumn("_millrace_draw", draw), ["_millrace_draw", *every], "_millrace_rn", self.spread).drop("_millrace_draw")
-        elif not groups:
-            step = placed(df, self.order_by, "_millrace_rn", self.spread) if order else numbered(df, "_millrace_rn")
+        count = F.count(F.lit(1)).alias("_millrace_rows")
+        counted = self.mode in ("lastN", "nPercent", "randomNPercent")
+        if not groups:
+            step = placed(df, rules, "_millrace_rn", self.spread) if order else numbered(df, "_millrace_rn")
+            step = step.crossJoin(F.broadcast(df.agg(count))) if counted else step  # one row
         else:
-            step = df.withColumn("_millrace_rn", F.row_number().over(by.orderBy(*(order or [names.col(c) for c in groups] or [F.lit(1)]))))
-        if self.mode in ("lastN", "nPercent", "randomNPercent"):
-            step = step.withColumn("_millrace_rows", F.count(F.lit(1)).over(by)) if groups else step.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_millrace_rows"))))
+            # Of the first n of a group Spark keeps n rows before the shuffle, so those need no bins.
+            bins = order and self.mode not in ("firstN", "randomN") and spreads(df, self.spread)
+            step = prefix.within(df, groups, rules, {"_millrace_rn": F.lit(1).cast("long")}) if bins else None
+            if step is None:
+                step = df.withColumn("_millrace_rn", F.row_number().over(by.orderBy(*(order or [names.col(c) for c in groups]))))
+                step = step.withColumn("_millrace_rows", F.count(F.lit(1)).over(by)) if counted else step
+            elif counted:
+                own = [f"_millrace_g{i}" for i in range(len(groups))]
+                each = df.groupBy(*[names.col(c).alias(g) for c, g in zip(groups, own, strict=True)]).agg(count)
+                step = step.join(each, prefix.same([names.col(c) for c in groups], own)).drop(*own)
         n = int(self.n)
         if "Percent" in self.mode:
             keep = rn <= F.ceil(rows * F.lit(min(float(self.n), 100.0)) / F.lit(100.0))
@@ -242,7 +262,7 @@ class Sample(Operator):
             keep = F.pmod(rn, F.lit(n)) == 0
         else:
             keep = {"firstN": rn <= n, "randomN": rn <= n, "skipN": rn > n, "lastN": rn > rows - n}.get(self.mode)
-        return step.filter(keep).drop("_millrace_rn", "_millrace_rows")
+        return step.filter(keep).drop("_millrace_rn", "_millrace_rows", "_millrace_draw")
 
 
 def percent_rows(rows: int, percent: float) -> int:

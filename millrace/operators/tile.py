@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..core import names, ordering, prefix
 from ..core.base import Operator, absent, needed
-from .rows import numbered, placed, spreads
+from .rows import numbered, placed, placed_in, spreads
 
 METHODS = ("equal_records", "equal_sum_tile", "smart_tile", "unique_value", "manual")
 LABELS = {0: "Average", 1: "Above Average", 2: "High", 3: "Extremely High", -1: "Below Average", -2: "Low", -3: "Extremely Low"}
@@ -29,9 +29,10 @@ class Tile(Operator):
     with bounds).  unique_value: a tile for each value of ``columns``.  manual: by
     rising ``cutoffs``, compared as 32-bit floats; beyond the last, and null, one more.
 
-    Tiles of equal counts or sums over a whole large table are made in bins of the
-    first order key (see ``core.prefix``); ``spread`` sets that, else the table's
-    size decides.
+    Tiles of equal counts or sums over a whole large table, and the places within hot
+    tiles, are made in bins of the first order key (see ``core.prefix``); tiles of
+    unique values, and those that do not split, are then numbered by one row a value.
+    ``spread`` sets that, else the table's size decides.
     """
 
     method: str = "equal_sum_tile"
@@ -68,8 +69,11 @@ class Tile(Operator):
     def apply(self, df: DataFrame) -> DataFrame:
         return getattr(self, "_" + self.method.removesuffix("_tile"))(df, self._by(df))
 
-    def _in_tile(self, by: list[Column], order: list[Column]) -> Column:
-        return F.row_number().over(Window.partitionBy(*by, "Tile_Num").orderBy(*(order or [F.lit(1)])))
+    def _sequenced(self, df: DataFrame, order: Sequence, name: str = "Tile_SequenceNum") -> DataFrame:
+        """``df`` with each row's place in its tile; in any order if there is none."""
+        groups = [*names.resolve_all(df, self.group_by), "Tile_Num"]
+        made = placed_in(df, groups, order, name, self.spread)
+        return made.withColumn(name, F.col(name).cast("int"))
 
     def _by_place(self, df: DataFrame) -> DataFrame:
         """Tiles of equal counts from each row's number and the number of rows alone."""
@@ -85,8 +89,8 @@ class Tile(Operator):
         return made.select(*[names.col(c) for c in df.columns], "Tile_Num", count.cast("long").alias("Tile_RecordCount"), (rn - before).cast("int").alias("Tile_SequenceNum"))
 
     def _equal_records(self, df: DataFrame, by: list[Column]) -> DataFrame:
-        if not by and not self.no_split and spreads(df, self.spread):
-            return self._by_place(df)
+        if not by and spreads(df, self.spread):
+            return self._together(df) if self.no_split else self._by_place(df)
         order = ordering.columns(self.order_by) or [F.lit(1)]
         step = df.withColumn("Tile_Num", F.ntile(self.n).over(Window.partitionBy(*by).orderBy(*order)))
         if self.no_split:
@@ -94,22 +98,39 @@ class Tile(Operator):
             step = step.withColumn("_millrace_t", F.min("Tile_Num").over(Window.partitionBy(*by, *together)))
             step = step.withColumn("Tile_Num", F.dense_rank().over(Window.partitionBy(*by).orderBy("_millrace_t"))).drop("_millrace_t")
         count = F.count(F.lit(1)).over(Window.partitionBy(*by, "Tile_Num"))
-        return step.withColumn("Tile_RecordCount", count).withColumn("Tile_SequenceNum", self._in_tile(by, order))
+        return self._sequenced(step.withColumn("Tile_RecordCount", count), self.order_by)
+
+    def _together(self, df: DataFrame) -> DataFrame:
+        """Tiles of equal counts that do not split rows equal in ``no_split``, from one row for each such value.
+
+        Ties of the order go by those columns, so that reading the input twice gives the same tiles.
+        """
+        own = names.resolve_all(df, self.no_split)
+        placed_ = replace(self, no_split=(), order_by=[*self.order_by, *map(names.quoted, own)])._by_place(df)
+        values = [f"_millrace_u{i}" for i in range(len(own))]
+        each = placed_.groupBy(*[names.col(c).alias(v) for c, v in zip(own, values, strict=True)]).agg(F.min("Tile_Num").alias("_millrace_t"), F.count(F.lit(1)).alias("_millrace_n"))
+        # At most n rows.
+        tiles = each.groupBy("_millrace_t").agg(F.sum("_millrace_n").alias("Tile_RecordCount"))
+        tiles = tiles.select(F.col("_millrace_t").alias("_millrace_of"), F.row_number().over(Window.orderBy("_millrace_t")).alias("Tile_Num"), "Tile_RecordCount")
+        each = each.join(tiles, F.col("_millrace_t") == F.col("_millrace_of"))
+        step = df.join(each, prefix.same([names.col(c) for c in own], values))
+        return self._sequenced(step.select(*[names.col(c) for c in df.columns], "Tile_Num", "Tile_RecordCount"), self.order_by)
 
     def _equal_sum(self, df: DataFrame, by: list[Column]) -> DataFrame:
         x = names.col(names.resolve(df, self.column))
-        order = [*ordering.columns(self.order_by), x.asc_nulls_first()]
+        rules = [*self.order_by, names.quoted(names.resolve(df, self.column))]
+        order = ordering.columns(rules)
         if not by and self.order_by and spreads(df, self.spread):
-            made = prefix.running(df, [*self.order_by, ordering.OrderRule(names.quoted(names.resolve(df, self.column)))], {"_millrace_r": x})
+            made = prefix.running(df, rules, {"_millrace_r": x})
             if made is not None:
-                return self._by_running(df, made, x, order)
+                return self._by_running(df, made, x, rules)
         group = Window.partitionBy(*by)
         running = F.sum(x).over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         share = F.try_divide(running, F.sum(x).over(group)) * F.lit(self.n)
         step = df.withColumn("_millrace_t", F.ceil(share)).withColumn("Tile_Num", F.dense_rank().over(group.orderBy("_millrace_t")))
-        return step.drop("_millrace_t").withColumn("tile_sum", F.sum(x).over(Window.partitionBy(*by, "Tile_Num"))).withColumn("Tile_SequenceNum", self._in_tile(by, order))
+        return self._sequenced(step.drop("_millrace_t").withColumn("tile_sum", F.sum(x).over(Window.partitionBy(*by, "Tile_Num"))), rules)
 
-    def _by_running(self, df: DataFrame, made: DataFrame, x: Column, order: list[Column]) -> DataFrame:
+    def _by_running(self, df: DataFrame, made: DataFrame, x: Column, rules: Sequence) -> DataFrame:
         """Tiles of equal sums from running sums; their numbers come from one row a tile."""
         made = made.crossJoin(F.broadcast(df.agg(F.sum(x).alias("_millrace_all"))))
         made = made.withColumn("_millrace_t", F.ceil(F.try_divide(F.col("_millrace_r"), F.col("_millrace_all")) * F.lit(self.n)))
@@ -117,7 +138,7 @@ class Tile(Operator):
         tiles = tiles.select(F.col("_millrace_t").alias("_millrace_u"), "tile_sum", F.row_number().over(Window.orderBy("_millrace_t")).alias("Tile_Num"))
         # Sums that rise and fall can pass through more than n tiles, so Spark picks the join by size.
         joined = made.join(tiles, F.col("_millrace_t").eqNullSafe(F.col("_millrace_u")))
-        return joined.select(*[names.col(c) for c in df.columns], "Tile_Num", "tile_sum", self._in_tile([], order).alias("Tile_SequenceNum"))
+        return self._sequenced(joined.select(*[names.col(c) for c in df.columns], "Tile_Num", "tile_sum"), rules)
 
     def _smart(self, df: DataFrame, by: list[Column]) -> DataFrame:
         x = names.col(names.resolve(df, self.column)).cast("double")
@@ -139,19 +160,22 @@ class Tile(Operator):
                 low, high = (F.coalesce((F.col("_millrace_m") + (tile + d) * s).cast("string"), F.lit("n/a")) for d in (F.lit(-0.5), F.lit(0.5)))
                 label = F.concat(label, F.lit(" ("), low, F.lit(" to "), high, F.lit(")"))
             step = step.withColumn("SmartTile_Num", label)
-        order = ordering.columns(self.order_by) or [names.col(names.resolve(df, self.column)).asc_nulls_first()]
-        return step.drop("_millrace_m", "_millrace_s").withColumn("TileSequence_Num", self._in_tile(by, order))
+        return self._sequenced(step.drop("_millrace_m", "_millrace_s"), self.order_by or [names.quoted(names.resolve(df, self.column))], "TileSequence_Num")
 
     def _unique_value(self, df: DataFrame, by: list[Column]) -> DataFrame:
-        values = [names.col(c).asc_nulls_first() for c in names.resolve_all(df, self.columns)]
-        step = df.withColumn("Tile_Num", F.dense_rank().over(Window.partitionBy(*by).orderBy(*values)))
-        order = ordering.columns(self.order_by) or values
-        return step.withColumn("Tile_SequenceNum", self._in_tile(by, order))
+        own = names.resolve_all(df, self.columns)
+        values = [names.quoted(c) for c in own]
+        if not by and spreads(df, self.spread):
+            keys = [f"_millrace_u{i}" for i in range(len(own))]
+            each = placed(df.select(*[names.col(c).alias(k) for c, k in zip(own, keys, strict=True)]).distinct(), keys, "Tile_Num", True)
+            step = df.join(each, prefix.same([names.col(c) for c in own], keys)).select(*[names.col(c) for c in df.columns], F.col("Tile_Num").cast("int").alias("Tile_Num"))
+        else:
+            step = df.withColumn("Tile_Num", F.dense_rank().over(Window.partitionBy(*by).orderBy(*ordering.columns(values))))
+        return self._sequenced(step, self.order_by or values)
 
     def _manual(self, df: DataFrame, by: list[Column]) -> DataFrame:
         x = names.col(names.resolve(df, self.column)).cast("float")
         tile = F.lit(len(self.cutoffs) + 1)
         for i, cutoff in reversed(list(enumerate(self.cutoffs, 1))):
             tile = F.when(x <= F.lit(cutoff).cast("float"), F.lit(i)).otherwise(tile)
-        order = ordering.columns(self.order_by) or [x.asc_nulls_first()]
-        return df.withColumn("Tile_Num", tile).withColumn("Tile_SequenceNum", self._in_tile(by, order))
+        return self._sequenced(df.withColumn("Tile_Num", tile), self.order_by or [f"cast({names.quoted(names.resolve(df, self.column))} AS float)"])

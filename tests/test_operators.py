@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.core import prefix
 from millrace.core.errors import UnsupportedOperation, ValidationError
 from millrace.core.ordering import OrderRule
 from millrace.operators import (
@@ -325,6 +326,8 @@ def test_generated_rows(spark):
     lambda df: RunningTotal(["v"], order_by=["t", "v"], spread=True)(df),
     lambda df: Sample("randomNPercent", 20, spread=True)(df),
     lambda df: Tile("smart_tile", "v")(df),
+    lambda df: Tile("unique_value", columns=["s"], spread=True)(df),
+    lambda df: Tile("equal_records", n=5, order_by=["v"], no_split=["t"], spread=True)(df),
 ])
 def test_no_task_has_all_rows(spark, made):
     """Only counts and sums of bins meet in one task: its exchanges follow an aggregate."""
@@ -458,3 +461,43 @@ def test_spread_tiles(spark, n):
             one, many = (Tile(method, "v", n=n, order_by=order, spread=s)(df) for s in (False, True))
             assert one.columns == many.columns and got(one) == got(many)
     assert sorted(r["n"] for r in Tile("equal_records", n=n, spread=True)(df).groupBy("Tile_Num").agg(F.count("*").alias("n")).collect()) == sorted(200 // n + (k < 200 % n) for k in range(min(n, 200)))
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """A group of a third of the rows, a null group of a third, and groups of two; nulls and ties in the order."""
+    groups = {0: "a", 1: None}
+    rows = [(i, groups.get(i % 3, f"g{i // 6}"), None if i % 17 == 0 else float(i * 7919 % 101), i % 5 or None) for i in range(600)]
+    return spark.createDataFrame(rows, "i int, g string, k double, x int").repartition(7).cache()
+
+
+@pytest.mark.parametrize("sort", ["asc", "desc_nulls_first"])
+@pytest.mark.parametrize("made", [
+    lambda o, s: RunningTotal(["x"], ["g"], o, spread=s),
+    lambda o, s: RecordID(type="integer", generation="groupLevel", group_by=["g"], order_by=o, spread=s),
+    lambda o, s: FindDuplicates(["g"], "duplicate", "selectedCols", order_by=o, spread=s),
+    lambda o, s: FindDuplicates(["g"], "custom_row_number", "selectedCols", "between", lower=2, upper=150, order_by=o, spread=s),
+    lambda o, s: Tile("unique_value", columns=["g"], order_by=o, spread=s),
+    lambda o, s: Tile("manual", "x", cutoffs=[3, 4], group_by=["g"], order_by=o, spread=s),
+    lambda o, s: Tile("equal_records", n=4, order_by=o, no_split=["x"], spread=s),
+    *[lambda o, s, m=m: Sample(m, 20, "selectedGroup", ["g"], o, spread=s) for m in ("lastN", "skipN", "oneOfN", "oneInN", "nPercent", "randomNPercent")],
+])
+def test_hot_groups(hot, monkeypatch, made, sort):
+    monkeypatch.setattr(prefix, "HOT_ROWS", 20)
+    order = [("k", sort), "i"]
+    one, many = made(order, False)(hot), made(order, True)(hot)
+    assert one.columns == many.columns and got(one) == got(many)
+
+
+def test_hot_groups_are_parted(hot, monkeypatch):
+    """Rows of a hot group are windowed by group and bin; without hot groups one window does."""
+    operator = RunningTotal(["x"], ["g"], ["k", "i"], spread=True)
+    plan = lambda: operator(hot)._jdf.queryExecution().optimizedPlan().toString()
+    assert prefix.BIN not in plan()
+    monkeypatch.setattr(prefix, "HOT_ROWS", 20)
+    assert prefix.BIN in plan()
+    sizes = prefix.within(hot, ["g"], ["k", "i"], {"n": F.lit(1)})
+    assert sizes.columns == [*hot.columns, "n"]
+    monkeypatch.setattr(prefix, "HOT_GROUPS", 2)  # now hot is what holds more than half of the rows
+    assert prefix.within(hot, ["g"], ["k", "i"], {"n": F.lit(1)}) is None
+    assert prefix.within(hot.limit(0), ["g"], ["k"], {"n": F.lit(1)}) is None
