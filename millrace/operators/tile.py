@@ -120,7 +120,7 @@ class Tile(Operator):
         x = names.col(names.resolve(df, self.column))
         rules = [*self.order_by, names.quoted(names.resolve(df, self.column))]
         order = ordering.columns(rules)
-        if not by and self.order_by and spreads(df, self.spread):
+        if not by and spreads(df, self.spread):
             made = prefix.running(df, rules, {"_millrace_r": x})
             if made is not None:
                 return self._by_running(df, made, x, rules)
@@ -142,11 +142,16 @@ class Tile(Operator):
 
     def _smart(self, df: DataFrame, by: list[Column]) -> DataFrame:
         x = names.col(names.resolve(df, self.column)).cast("double")
-        if by:
+        statistics = [F.avg(x).alias("_millrace_m"), F.stddev_samp(x).alias("_millrace_s")]
+        if not by:
+            step = df.crossJoin(F.broadcast(df.agg(*statistics)))  # one row
+        elif spreads(df, self.spread):
+            own = [f"_millrace_g{i}" for i in range(len(by))]
+            each = df.groupBy(*[c.alias(g) for c, g in zip(by, own, strict=True)]).agg(*statistics)
+            step = df.join(each, prefix.same(by, own)).drop(*own)
+        else:
             group = Window.partitionBy(*by)
             step = df.withColumn("_millrace_m", F.avg(x).over(group)).withColumn("_millrace_s", F.stddev_samp(x).over(group))
-        else:
-            step = df.crossJoin(F.broadcast(df.agg(F.avg(x).alias("_millrace_m"), F.stddev_samp(x).alias("_millrace_s"))))  # one row
         # A group of one row has no deviation, and so a null tile.
         k = F.when(F.col("_millrace_s") == 0, F.lit(0)).otherwise(F.floor(F.try_divide(x - F.col("_millrace_m"), F.col("_millrace_s")) + F.lit(0.5)).cast("int"))
         step = step.withColumn("Tile_Num", k)

@@ -327,6 +327,7 @@ def test_generated_rows(spark):
     lambda df: Sample("randomNPercent", 20, spread=True)(df),
     lambda df: Tile("smart_tile", "v")(df),
     lambda df: Tile("unique_value", columns=["s"], spread=True)(df),
+    lambda df: Tile("equal_sum_tile", "v", n=5, spread=True)(df),
     lambda df: Tile("equal_records", n=5, order_by=["v"], no_split=["t"], spread=True)(df),
 ])
 def test_no_task_has_all_rows(spark, made):
@@ -479,6 +480,7 @@ def hot(spark):
     lambda o, s: FindDuplicates(["g"], "custom_row_number", "selectedCols", "between", lower=2, upper=150, order_by=o, spread=s),
     lambda o, s: Tile("unique_value", columns=["g"], order_by=o, spread=s),
     lambda o, s: Tile("manual", "x", cutoffs=[3, 4], group_by=["g"], order_by=o, spread=s),
+    lambda o, s: Tile("smart_tile", "x", group_by=["g"], order_by=o, smart_output="output_column_smartTile", spread=s),
     lambda o, s: Tile("equal_records", n=4, order_by=o, no_split=["x"], spread=s),
     *[lambda o, s, m=m: Sample(m, 20, "selectedGroup", ["g"], o, spread=s) for m in ("lastN", "skipN", "oneOfN", "oneInN", "nPercent", "randomNPercent")],
 ])
