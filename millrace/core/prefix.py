@@ -79,6 +79,17 @@ def by_partition(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
     return joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") + found for n in sums}).drop(part, place, "_millrace_p", *[f"_before_{n}" for n in sums])
 
 
+def _below(edges: list, x: Column) -> Column:
+    """How many of the rising ``edges`` are below ``x``, by halving; the key, which may be dear, is computed once a row."""
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))])
+    bounds = F.array(*[F.lit(b) for b in edges])
+
+    def found(v: Column) -> Column:
+        return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.try_element_at(bounds, at + half) < v, at + half).otherwise(at))
+
+    return F.element_at(F.transform(F.array(x), found), 1)
+
+
 def bins(df: DataFrame, order: Sequence) -> Column | None:
     """An integer that rises with the order, bounds being those of ``df``; None if there is no order, or its first key is nested."""
     rules = ordering.rules(order)
@@ -94,7 +105,7 @@ def bins(df: DataFrame, order: Sequence) -> Column | None:
     else:
         bounds = df.select(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"] or []
     edges = sorted({b for b in bounds if b == b})
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in edges]), lambda b: b < x)) if edges else F.lit(0)
+    place = _below(edges, x) if edges else F.lit(0)
     rises, nulls_first = rules[0].sort.startswith("asc"), rules[0].sort in ("asc", "desc_nulls_first")
     null = F.lit(-MOST - 1 if nulls_first else MOST + 1)
     return F.when(x.isNull(), null).otherwise(place if rises else -place).cast("int")

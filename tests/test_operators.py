@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 import uuid
 
 import pytest
@@ -503,3 +504,16 @@ def test_hot_groups_are_parted(hot, monkeypatch):
     monkeypatch.setattr(prefix, "HOT_GROUPS", 2)  # now hot is what holds more than half of the rows
     assert prefix.within(hot, ["g"], ["k", "i"], {"n": F.lit(1)}) is None
     assert prefix.within(hot.limit(0), ["g"], ["k"], {"n": F.lit(1)}) is None
+
+
+def test_bins_take_each_key_once(spark):
+    """Placing a row among many bounds costs a few steps, and a dear first key is not computed for each bound."""
+    df = spark.range(0, 60_000, 1, 1).select("id", *[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in "abcdef"]).localCheckpoint()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "500")
+    try:
+        began = time.monotonic()
+        assert Sample("randomNPercent", 10, spread=True)(df).count() == 6_000
+        assert time.monotonic() - began < 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
