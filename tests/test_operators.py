@@ -517,3 +517,11 @@ def test_bins_take_each_key_once(spark):
         assert time.monotonic() - began < 20
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+@pytest.mark.parametrize("edges", [[5.0], [1.0, 2.0], [0.5, 1.0, 7.0], [float(i) for i in range(0, 200, 3)]])
+def test_bins_by_halving(spark, edges):
+    values = [-1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 6.9, 7.0, 100.0, 198.0, 1e9, float("inf"), float("-inf")]
+    found = spark.createDataFrame([(v,) for v in values], "x double").select("x", prefix._below(edges, F.col("x")).alias("n")).collect()
+    assert [(r["x"], r["n"]) for r in found] == [(v, sum(e < v for e in edges)) for v in values]
+    assert spark.createDataFrame([(float("nan"),)], "x double").select(prefix._below(edges, F.col("x"))).first()[0] == len(edges)
