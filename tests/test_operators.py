@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 import time
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.core import prefix
 from millrace.core.errors import UnsupportedOperation, ValidationError
 from millrace.core.ordering import OrderRule
+from millrace.operators import fuzzy
 from millrace.operators import (
     AssertExpression,
     CountRecords,
@@ -508,12 +510,12 @@ def test_hot_groups_are_parted(hot, monkeypatch):
 
 def test_bins_take_each_key_once(spark):
     """Placing a row among many bounds costs a few steps, and a dear first key is not computed for each bound."""
-    df = spark.range(0, 60_000, 1, 1).select("id", *[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in "abcdef"]).localCheckpoint()
+    df = spark.range(0, 200_000, 1, 1).select("id", *[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in "abcdef"]).localCheckpoint()
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "500")
     try:
         began = time.monotonic()
-        assert Sample("randomNPercent", 10, spread=True)(df).count() == 6_000
+        assert Sample("randomNPercent", 10, spread=True)(df).count() == 20_000
         assert time.monotonic() - began < 20
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -525,3 +527,60 @@ def test_bins_by_halving(spark, edges):
     found = spark.createDataFrame([(v,) for v in values], "x double").select("x", prefix._below(edges, F.col("x")).alias("n")).collect()
     assert [(r["x"], r["n"]) for r in found] == [(v, sum(e < v for e in edges)) for v in values]
     assert spark.createDataFrame([(float("nan"),)], "x double").select(prefix._below(edges, F.col("x"))).first()[0] == len(edges)
+
+
+def _all_pairs(rows, fields, threshold, merge, block):
+    """Scores of all pairs, mean by mean, as FuzzyMatch defines them."""
+
+    def edits(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    sums = {}
+    for a in rows:
+        for b in rows:
+            if a["rid"] is None or b["rid"] is None or a["rid"] <= b["rid"]:
+                continue
+            if (merge or block) and (a["src"] is None or b["src"] is None or (a["src"] != b["src"]) != merge):
+                continue
+            for column, kind in fields:
+                x, y = a[column], b[column]
+                if x is None or y is None or (kind == "custom" and not x and not y):
+                    continue
+                score = 100 * (1 - edits(x, y) / max(len(x), len(y))) if kind == "custom" else 100.0 * (x == (y[::-1] if kind == "exact" else y))
+                sums.setdefault((a["rid"], b["rid"]), []).append(score)
+    found = {k: sum(v) / len(v) for k, v in sums.items()}
+    return {k: v for k, v in found.items() if round(v + 1e-9, 2) >= threshold}
+
+
+@pytest.mark.parametrize(("most", "chunk"), [(1024, 1024), (8, 2)])
+@pytest.mark.parametrize("repeated", [False, True])
+@pytest.mark.parametrize(("fields", "threshold"), [([("v", "custom")], 66), ([("u", "exact"), ("v", "custom"), ("w", "equals")], 60), ([("w", "phone")], 100)])
+def test_fuzzy_equals_all_pairs(spark, monkeypatch, most, chunk, repeated, fields, threshold):
+    monkeypatch.setattr(fuzzy, "MOST_FORMS", most)
+    monkeypatch.setattr(fuzzy, "CHUNK", chunk)
+    draw = random.Random(5)
+    text = lambda letters, n: "".join(draw.choice(letters) for _ in range(draw.randint(0, n))) if draw.random() > 0.1 else None
+    rows = [(str(i // 2 if repeated else i) if i else None, text("AB", 8), text("XYZ", 3), text("aé𝄞", 3), draw.choice(["s", "t", None])) for i in range(40)]
+    df = spark.createDataFrame(rows, "rid string, v string, w string, u string, src string").localCheckpoint()
+    for merge, block in ((False, None), (True, None), (False, "src")):
+        made = FuzzyMatch("rid", [MatchField(*f) for f in fields], "MERGE" if merge else "PURGE", "src" if merge else None, threshold, True, block)(df).collect()
+        expected = _all_pairs(df.collect(), fields, threshold, merge, block)
+        assert len(made) == len(expected)
+        assert {(r[0], r[1]): r[2] for r in made} == {k: pytest.approx(v, abs=0.0051) for k, v in expected.items()}
+
+
+def test_fuzzy_does_not_compare_all_pairs(spark):
+    """60,000 records make 1.8e9 pairs; only near ones meet."""
+    df = spark.range(60_000).select("id", F.format_string("Supplier#%09d", "id").alias("name"), (F.col("id") % 5000).alias("phone"))
+    began = time.monotonic()
+    assert FuzzyMatch("id", [MatchField("phone", "phone")], threshold=100)(df).count() == 5000 * 66
+    near = FuzzyMatch("id", [MatchField("name")], threshold=94, with_score=True)(df)
+    # Each digit that changes is another record, as far as the numbers go.
+    assert near.count() == sum(1 for n in range(60_000) for p in range(5) for c in range(n // 10**p % 10 + 1, 10) if n + (c - n // 10**p % 10) * 10**p < 60_000)
+    assert time.monotonic() - began < 60
