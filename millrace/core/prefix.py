@@ -25,8 +25,9 @@ from pyspark.sql.window import Window
 from . import names, ordering
 
 MOST = 1024
-#: Tables that Spark estimates below this are numbered by one task, which is quicker for them.
-LARGE = 256 << 20
+#: Tables that Spark estimates below this are numbered by one task, which is quicker for them.  The estimate is of
+#: compressed columns, one or two bytes for a key of a file in its order, and a task sorts some hundred bytes for each.
+LARGE = 8 << 20
 BIN = "_millrace_bin"
 PER_BOUND = 20
 HOT_ROWS, HOT_GROUPS = 1 << 20, 10_000

@@ -584,3 +584,17 @@ def test_fuzzy_does_not_compare_all_pairs(spark):
     # Each digit that changes is another record, as far as the numbers go.
     assert near.count() == sum(1 for n in range(60_000) for p in range(5) for c in range(n // 10**p % 10 + 1, 10) if n + (c - n // 10**p % 10) * 10**p < 60_000)
     assert time.monotonic() - began < 60
+
+
+LAST = [("id", "desc")]
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [RecordID(size=8, order_by=["id"]), *[Sample(m, 7, order_by=LAST) for m in ("lastN", "oneInN", "oneOfN", "nPercent", "skipN")], RunningTotal(["id"], order_by=LAST)],
+    ids=["record_id", "last", "one_in", "one_of", "percent", "skip", "running_total"],
+)
+def test_two_million_rows_are_not_numbered_by_one_task(spark, operator):
+    """16 MB by Spark's estimate, and more than 100 MB to a task that sorts them all."""
+    plan = operator(spark.range(2_000_000).withColumn("v", F.col("id") % 10))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_millrace_bin" in plan
