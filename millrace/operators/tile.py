@@ -29,8 +29,8 @@ class Tile(Operator):
     with bounds).  unique_value: a tile for each value of ``columns``.  manual: by
     rising ``cutoffs``, compared as 32-bit floats; beyond the last, and null, one more.
 
-    Tiles of equal counts or sums over a whole large table, and the places within hot
-    tiles, are made in bins of the first order key (see ``core.prefix``); tiles of
+    Tiles of equal counts or sums over a whole large table, of equal counts within hot
+    groups, and the places within hot tiles, are made in bins of the first order key (see ``core.prefix``); tiles of
     unique values, and those that do not split, are then numbered by one row a value.
     ``spread`` sets that, else the table's size decides.
     """
@@ -75,22 +75,30 @@ class Tile(Operator):
         made = placed_in(df, groups, order, name, self.spread)
         return made.withColumn(name, F.col(name).cast("int"))
 
-    def _by_place(self, df: DataFrame) -> DataFrame:
-        """Tiles of equal counts from each row's number and the number of rows alone."""
+    def _by_place(self, df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+        """Tiles of equal counts from each row's number and the number of rows alone, of the table or of each group."""
         rn, n = F.col("_millrace_n"), F.lit(self.n)
-        made = placed(df, self.order_by, "_millrace_n", True) if self.order_by else numbered(df, "_millrace_n")
-        made = made.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_millrace_all"))))
+        count = F.count(F.lit(1)).alias("_millrace_all")
+        if groups:
+            own = [f"_millrace_a{i}" for i in range(len(groups))]
+            made = placed_in(df, groups, self.order_by, "_millrace_n", True)
+            each = df.groupBy(*[names.col(c).alias(g) for c, g in zip(groups, own, strict=True)]).agg(count)
+            made = made.join(each, prefix.same([names.col(c) for c in groups], own))
+        else:
+            made = placed(df, self.order_by, "_millrace_n", True) if self.order_by else numbered(df, "_millrace_n")
+            made = made.crossJoin(F.broadcast(df.agg(count)))
         size, longer = F.floor(F.col("_millrace_all") / n), F.col("_millrace_all") % n
         edge = longer * (size + 1)
         tile = F.when(rn <= edge, F.ceil(rn / (size + 1))).otherwise(longer + F.ceil((rn - edge) / F.greatest(size, F.lit(1))))
         made = made.withColumn("Tile_Num", tile.cast("int"))
         before = F.when(F.col("Tile_Num") <= longer, (F.col("Tile_Num") - 1) * (size + 1)).otherwise(edge + (F.col("Tile_Num") - longer - 1) * size)
-        count = F.when(F.col("Tile_Num") <= longer, size + 1).otherwise(size)
-        return made.select(*[names.col(c) for c in df.columns], "Tile_Num", count.cast("long").alias("Tile_RecordCount"), (rn - before).cast("int").alias("Tile_SequenceNum"))
+        rows = F.when(F.col("Tile_Num") <= longer, size + 1).otherwise(size)
+        return made.select(*[names.col(c) for c in df.columns], "Tile_Num", rows.cast("long").alias("Tile_RecordCount"), (rn - before).cast("int").alias("Tile_SequenceNum"))
 
     def _equal_records(self, df: DataFrame, by: list[Column]) -> DataFrame:
-        if not by and spreads(df, self.spread):
-            return self._together(df) if self.no_split else self._by_place(df)
+        if (self.order_by or not by) and spreads(df, self.spread):
+            groups = names.resolve_all(df, self.group_by)
+            return self._together(df, groups) if self.no_split else self._by_place(df, groups)
         order = ordering.columns(self.order_by) or [F.lit(1)]
         step = df.withColumn("Tile_Num", F.ntile(self.n).over(Window.partitionBy(*by).orderBy(*order)))
         if self.no_split:
@@ -100,19 +108,21 @@ class Tile(Operator):
         count = F.count(F.lit(1)).over(Window.partitionBy(*by, "Tile_Num"))
         return self._sequenced(step.withColumn("Tile_RecordCount", count), self.order_by)
 
-    def _together(self, df: DataFrame) -> DataFrame:
+    def _together(self, df: DataFrame, groups: Sequence[str]) -> DataFrame:
         """Tiles of equal counts that do not split rows equal in ``no_split``, from one row for each such value.
 
         Ties of the order go by those columns, so that reading the input twice gives the same tiles.
         """
-        own = names.resolve_all(df, self.no_split)
-        placed_ = replace(self, no_split=(), order_by=[*self.order_by, *map(names.quoted, own)])._by_place(df)
+        apart = names.resolve_all(df, self.no_split)
+        own = [*groups, *apart]
+        placed_ = replace(self, no_split=(), order_by=[*self.order_by, *map(names.quoted, apart)])._by_place(df, groups)
         values = [f"_millrace_u{i}" for i in range(len(own))]
         each = placed_.groupBy(*[names.col(c).alias(v) for c, v in zip(own, values, strict=True)]).agg(F.min("Tile_Num").alias("_millrace_t"), F.count(F.lit(1)).alias("_millrace_n"))
-        # At most n rows.
-        tiles = each.groupBy("_millrace_t").agg(F.sum("_millrace_n").alias("Tile_RecordCount"))
-        tiles = tiles.select(F.col("_millrace_t").alias("_millrace_of"), F.row_number().over(Window.orderBy("_millrace_t")).alias("Tile_Num"), "Tile_RecordCount")
-        each = each.join(tiles, F.col("_millrace_t") == F.col("_millrace_of"))
+        # At most n rows a group.
+        of, inside = values[: len(groups)], [f"_millrace_v{i}" for i in range(len(groups))]
+        tiles = each.groupBy(*[F.col(v).alias(g) for v, g in zip(of, inside, strict=True)], F.col("_millrace_t").alias("_millrace_of")).agg(F.sum("_millrace_n").alias("Tile_RecordCount"))
+        tiles = tiles.withColumn("Tile_Num", F.row_number().over(Window.partitionBy(*inside).orderBy("_millrace_of")))
+        each = each.join(tiles, (F.col("_millrace_t") == F.col("_millrace_of")) & prefix.same([F.col(v) for v in of], inside)).drop(*inside)
         step = df.join(each, prefix.same([names.col(c) for c in own], values))
         return self._sequenced(step.select(*[names.col(c) for c in df.columns], "Tile_Num", "Tile_RecordCount"), self.order_by)
 

@@ -598,3 +598,16 @@ def test_two_million_rows_are_not_numbered_by_one_task(spark, operator):
     """16 MB by Spark's estimate, and more than 100 MB to a task that sorts them all."""
     plan = operator(spark.range(2_000_000).withColumn("v", F.col("id") % 10))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_millrace_bin" in plan
+
+
+@pytest.mark.parametrize("no_split", [(), ["x"]])
+@pytest.mark.parametrize("n", [1, 4, 7, 150])
+def test_equal_records_of_hot_groups(spark, monkeypatch, n, no_split):
+    """Hot groups are tiled from places made in bins, no group by one task; small groups and null ones as ever."""
+    monkeypatch.setattr(prefix, "HOT_ROWS", 20)
+    rows = [("a" if i % 3 else "b", i * 7 % 50, i, i % 11) for i in range(200)] + [(None, i, 200 + i, None) for i in range(25)] + [("c", None, 300, 1), ("c", 2, 301, None)]
+    df = spark.createDataFrame(rows, "g string, k int, i int, x int").localCheckpoint()
+    one, many = (Tile("equal_records", n=n, group_by=["g"], order_by=[("k", "desc"), "i"], no_split=no_split, spread=s)(df) for s in (False, True))
+    assert got(one) == got(many)
+    assert "ntile" in one._jdf.queryExecution().optimizedPlan().toString()
+    assert "ntile" not in many._jdf.queryExecution().optimizedPlan().toString()
