@@ -81,14 +81,17 @@ def by_partition(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
 
 
 def _below(edges: list, x: Column) -> Column:
-    """How many of the rising ``edges`` are below ``x``, by halving; the key, which may be dear, is computed once a row."""
+    """How many of the rising ``edges`` are below ``x``, by halving; the key, which may be dear, is computed once a row.
+
+    It is never null and says so: a join on it would else first ask whether it is, and place each row once more for that.
+    """
     halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))])
     bounds = F.array(*[F.lit(b) for b in edges])
 
     def found(v: Column) -> Column:
         return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.try_element_at(bounds, at + half) < v, at + half).otherwise(at))
 
-    return F.element_at(F.transform(F.array(x), found), 1)
+    return F.coalesce(F.element_at(F.transform(F.array(x), found), 1), F.lit(0))
 
 
 def bins(df: DataFrame, order: Sequence) -> Column | None:

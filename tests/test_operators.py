@@ -611,3 +611,11 @@ def test_equal_records_of_hot_groups(spark, monkeypatch, n, no_split):
     assert got(one) == got(many)
     assert "ntile" in one._jdf.queryExecution().optimizedPlan().toString()
     assert "ntile" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bins_place_each_row_once(spark):
+    """Rows are placed once for their numbers and once for the sums of bins, not again for a filter on null bins."""
+    df = spark.range(0, 1000, 1, 4).selectExpr("id", "CASE WHEN id % 10 > 0 THEN timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 7919 % 997) END AS ts", "1 AS one")
+    one, many = (RunningTotal(["one"], order_by=["ts", "id"], spread=s)(df) for s in (False, True))
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
+    assert got(one) == got(many)
